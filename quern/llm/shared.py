@@ -33,6 +33,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
+    """A table of short rows whose number is known: broadcast up to ``most``, else joined as Spark sees fit."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def arrow_schema(fields: dict[str, pa.DataType]) -> tuple[pa.Schema, str]:
     """An Arrow schema and the same as a DDL string."""
     names = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.bool_(): "boolean", pa.binary(): "binary"}

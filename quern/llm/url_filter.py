@@ -50,6 +50,9 @@ LABELLED = [
         http://www.nation.com/en/930 https://thened.net/fr/28 http://tiona.org/en/1?page=2 https://theath.com/en/83 http://thandor.net/en/507 https://blog.thise.com/de/660 http://ereson.org/en/7
         http://open-source.org/en/projects https://city-council.net/en/minutes http://school-board.com/en/2 https://bird-watch.org/es/6 http://www.train-times.net/de/33 https://m.book-club.com/fr/70
         http://public-radio.org/en/live https://health-advice.net/en/18 http://film-review.com/en/250 https://local-sports.org/en/9 http://science-daily.net/fr/3 https://www.art-school.com/en/61
+        https://blog.harbour.example.net/en/12 http://www.meadow.example.org/de/5 https://m.winter.example.com/fr/77 http://river.example.net/es/31 https://stone.example.org/en/203
+        http://blog.thorea.example.net/fr/8 https://m.hestion.example.net/en/470 http://www.andered.example.com/en/66 https://reinger.example.com/de/140 http://sthing.example.org/en/919
+        http://m.ationer.example.org/es/58 https://www.erestan.example.net/en/702?page=2 http://onthe.example.com/en/35/ https://blog.tisher.example.org/fr/512.html
         http://parliament.org/en/acts https://charity.net/en/give http://photo.club.com/de/88 https://wiki.project.org/es/Main http://code.forge.net/en/repo https://mail.example.com/en/10
     """.split()),
 ]

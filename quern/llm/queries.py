@@ -13,6 +13,7 @@ from quern.llm.packing import pack
 from quern.llm.pii import pii_report
 from quern.llm.simhash import near_duplicates
 from quern.llm.token_counts import token_counts
+from quern.llm.toxicity import judge_toxicity, train
 from quern.llm.url_filter import Rule, judge_urls
 
 
@@ -53,6 +54,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 

@@ -66,11 +66,19 @@ class Memo(dict):
 class Ids:
     """Token ids of whole texts as little-endian unsigned 32-bit values, from the tokenizers library."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
-        self.splitter, tokenizer = Splitter(path), Tokenizer.from_file(path)
-        self.memo = Memo(lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes(), most)
+        self.splitter, self.model = Splitter(path), Tokenizer.from_file(path).model
+        self.letters = {b: c for c, b in _byte_letters().items()}
+        self.memo = Memo(self._piece, most)
+
+    def _piece(self, piece: str) -> bytes:
+        if piece in self.splitter.added:
+            ids = [self.splitter.added[piece]]
+        else:
+            ids = [x.id for x in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
+        return np.array(ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.splitter.pieces(text)))

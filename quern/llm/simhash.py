@@ -7,7 +7,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.shared import arrow_schema, connected_components, partitions, slices, texts, written
@@ -38,17 +39,21 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * ones > len(hashes)), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, fp): the 64-bit SimHash of each text as a signed long."""
-    schema, ddl = arrow_schema({"doc_id": pa.int64(), "fp": pa.int64()})
+def simhash_of(text: Column, shingle: int) -> Column:
+    """The 64-bit SimHash of a text column as a signed long; zero for a null."""
+    @F.arrow_udf("long")
+    def prints(column: pa.Array) -> pa.Array:
+        out = []
+        for part in slices(pa.RecordBatch.from_arrays([column], ["text"])):
+            out += [simhash(shingle_hashes(x, shingle)) for x in texts(part, "text")]
+        return pa.array(np.array(out, np.uint64).view(np.int64), pa.int64())
+
+    return prints(text)
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                found = np.array([simhash(shingle_hashes(x, shingle)) for x in texts(part, "text")], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.int64())], schema=schema)
 
-    return docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text").mapInArrow(run, ddl)
+def fingerprints(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, fp): the 64-bit SimHash of each text as a signed long."""
+    return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), simhash_of(F.col(f"`{text_column}`"), shingle).alias("fp"))
 
 
 def key_positions(equal: int, picked: int = 3) -> list[tuple[int, ...]]:
@@ -147,6 +152,16 @@ def links_between(prints: DataFrame, distance: int = 4, block: int = 8192) -> Da
     return dealt.mapInArrow(run, ddl)
 
 
+def components(docs: DataFrame, shingle: int, distance: int, id_column: str, text_column: str) -> DataFrame:
+    """(doc_id, fp, component, component_id) per row: component is a fingerprint that names the group."""
+    prints = written(fingerprints(docs, shingle, id_column, text_column), "fingerprints")
+    groups = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
+    linked = connected_components(links_between(groups.select("fp"), distance))
+    placed = groups.join(linked, groups.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(placed.join(heads, "component").select("fp", "component", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (16 lowercase hex digits) and ``component_id``, the smallest
     doc_id that chains of fingerprints at ``distance`` differing bits or less reach, its own included.
@@ -156,10 +171,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     smallest id ignores it, and a group of null ids only has a null component. An empty table gives an empty
     result; other columns are not read.
     """
-    prints = written(fingerprints(docs, shingle, id_column, text_column), "fingerprints")
-    groups = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    components = connected_components(links_between(groups.select("fp"), distance))
-    placed = groups.join(components, groups.fp == components.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = placed.join(heads, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = components(docs, shingle, distance, id_column, text_column)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, the one of smallest id; columns as they were.
+
+    Rows are kept by id. Where an id has several rows, those are told apart by a hash of the text; of rows that
+    are alike in both, or have no id, one stays for each group.
+    """
+    found = written(components(docs, shingle, distance, id_column, text_column), "components")
+    own = F.col(f"`{id_column}`").cast("long")
+    head = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = "__kept"
+    while kept in docs.columns:
+        kept += "_"
+    counts = head.groupBy(F.col("doc_id").alias(kept)).count()
+    once, more = counts.where("count = 1").select(kept), counts.where("count > 1").select(kept)
+    single = docs.join(once, own.eqNullSafe(F.col(kept)), "left_semi")
+    if not more.limit(1).count():
+        return single
+    again = docs.join(F.broadcast(more) if more.count() <= 100_000 else more, own.eqNullSafe(F.col(kept)), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = again.select(row.alias("row"), own.alias("__id"), simhash_of(F.col(f"`{text_column}`"), shingle).alias("__fp"))
+    named = head.select(F.col("fp").alias("__fp"), "component").distinct()
+    first = W.partitionBy("component").orderBy("__id", F.xxhash64("row"))
+    return single.unionByName(rows.join(named, "__fp").withColumn("__n", F.row_number().over(first)).where("__n = 1").select("row.*"))

@@ -12,6 +12,7 @@ from quern.llm.mixing import mix
 from quern.llm.packing import pack
 from quern.llm.pii import pii_report
 from quern.llm.simhash import near_duplicates
+from quern.llm.suffix_dedup import remove_repeats
 from quern.llm.token_counts import token_counts
 from quern.llm.toxicity import judge_toxicity, train
 from quern.llm.url_filter import Rule, judge_urls
@@ -29,6 +30,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op4_inner_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), every=20, k=20)
 

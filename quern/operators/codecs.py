@@ -87,10 +87,11 @@ def encoded(kind: str, payload: bytes, level: int = 9) -> bytes | None:
         return gzip.compress(payload, min(9, max(1, level)), mtime=0)
     if kind == "bz2":
         return bz2.compress(payload, 9)
-    if kind == "xz":
-        return lzma.compress(payload, preset=9)
-    if kind == "lzma":
-        return lzma.compress(payload, lzma.FORMAT_ALONE, preset=9)
+    if kind in ("xz", "lzma"):
+        # a dictionary beyond the payload saves nothing and costs its allocation
+        room = min(64 << 20, max(4096, 1 << max(0, len(payload) - 1).bit_length()))
+        chain = [{"id": lzma.FILTER_LZMA2 if kind == "xz" else lzma.FILTER_LZMA1, "preset": 9, "dict_size": room}]
+        return lzma.compress(payload, lzma.FORMAT_XZ if kind == "xz" else lzma.FORMAT_ALONE, filters=chain)
     if kind == "zst":
         return zstandard.ZstdCompressor(level=19).compress(payload)
     if kind in ("br", "lz4"):

@@ -165,38 +165,42 @@ class PrefixCounts:
         """Tokens of the whole text."""
         return sum(map(self.memo.__getitem__, self.splitter.pieces(text)))
 
-    def every_prefix(self, text: str) -> np.ndarray:
-        """count[k]: tokens of the first k code points of the text, each exactly as that prefix encodes on its own.
+    def _within(self, done: int, before: str, piece: str) -> np.ndarray:
+        """Tokens of the texts that end after 1, 2, ... code points of a piece; ``done`` tokens lie before the piece,
+        and ``before`` is the piece before it.
 
-        Pieces before the last but one do not change when the text ends earlier, so only a short tail is cut anew.
+        From its second code point on, the start of a piece is one piece itself, so the counts are those of its
+        prefixes. The first can join blanks before it; a contraction or an added token falls apart when cut.
         """
-        counts, done, start, lengths = np.zeros(len(text) + 1, np.int64), 0, 0, []
-        pieces = self.splitter.pieces(text)
-        for k, piece in enumerate(pieces):
-            end = start + len(piece)
-            back = lengths[-1] if lengths else 0
-            before = done - (self.memo[pieces[k - 1]] if k else 0)
-            for cut in range(start + 1, end + 1):
-                counts[cut] = before + self.count(text[start - back : cut])
+        if piece in self.splitter.added or (piece[0] == "'" and len(piece) <= 3):
+            outside = done - (self.memo[before] if before else 0)
+            found = np.array([outside + self.count(before + piece[:k]) for k in range(1, len(piece))] + [done + self.memo[piece]], np.int64)
+        else:
+            widths = np.cumsum([len(c.encode()) for c in piece])
+            found = done + self.prefixes(piece)[widths]
+        if before and piece not in self.splitter.added:
+            found[0] = done - self.memo[before] + self.count(before + piece[0])
+        return found
+
+    def every_prefix(self, text: str) -> np.ndarray:
+        """count[k]: tokens of the first k code points of the text, each exactly as that prefix encodes on its own."""
+        counts, done, before = [np.zeros(1, np.int64)], 0, ""
+        for piece in self.splitter.pieces(text):
+            counts.append(self._within(done, before, piece))
             done += self.memo[piece]
-            lengths.append(len(piece))
-            start = end
-        return counts
+            before = piece
+        return np.concatenate(counts)
 
     def longest_prefix(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix that has at most ``budget`` tokens by the counts of whole pieces, then
-        by the prefix counts of the piece at which the budget runs out."""
-        pieces, done, at = self.splitter.pieces(text), 0, 0
-        for k, piece in enumerate(pieces):
+        """Code points of the longest prefix within ``budget`` tokens, among those that end in the piece at which the
+        budget runs out, or before it."""
+        done, at, before = 0, 0, ""
+        for piece in self.splitter.pieces(text):
             here = self.memo[piece]
             if done + here > budget:
-                back = len(pieces[k - 1]) if k else 0
-                before = done - (self.memo[pieces[k - 1]] if k else 0)
-                for cut in range(at + len(piece) - 1, at, -1):
-                    if before + self.count(text[at - back : cut]) <= budget:
-                        return cut
-                return at
-            done, at = done + here, at + len(piece)
+                fits = np.flatnonzero(self._within(done, before, piece) <= budget)
+                return at + int(fits[-1]) + 1 if len(fits) else at
+            done, at, before = done + here, at + len(piece), piece
         return at
 
 

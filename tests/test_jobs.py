@@ -83,3 +83,16 @@ def test_reports(spark):
     assert view.stats == [1, 100, 80] and view.final == [100.0, 80.0, 20.0]
     assert doctor(spark).where(F.col("status").startswith("missing (required)")).count() <= 1
     assert (exit_code(0, True), exit_code(1, True), exit_code(1, False)) == (0, 2, 1)
+
+
+def test_arrivals(spark, tmp_path):
+    from quern.streaming.arrivals import pack_arrivals
+
+    (tmp_path / "in").mkdir()
+    for round_, names in enumerate((("a.json", "b.txt"), ("c.json",))):
+        for name in names:
+            (tmp_path / "in" / name).write_bytes(b"[1,  2]")
+        query = pack_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
+        query.awaitTermination(120)
+        found = {r.path.rpartition("/")[2]: r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        assert len(found) == 2 + round_ and found["a.json"] == "packed" and found["b.txt"] == "skipped"

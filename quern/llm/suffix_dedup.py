@@ -242,6 +242,7 @@ def repeated_spans(texts: DataFrame, length: int, window: int) -> DataFrame:
     members = _contexts(texts, again, length, window, True).join(ask.select("core", "context", "repeated", "t1", "t2", "begin"), ["core", "context", "t1", "t2", "begin"])
     compared = _compare(members, window)
     settled = stats.join(compared, ["core", "context"], "left").where("repeated or least is not null").select("core", "context", "repeated", "least", "greatest")
+    settled = written(settled, "settled")  # so that the join below stands alone and hot contexts can be split
     hits = found.where("copies = 1").join(settled, ["core", "context"])
     a = F.when(F.col("repeated"), F.col("first")).otherwise(F.col("begin") - F.col("greatest"))
     b = F.when(F.col("repeated"), F.col("last")).otherwise(F.col("begin") - F.col("least")) + length

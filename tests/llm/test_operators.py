@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, inner_product, merkle, mixing, packing, pii, queries, simhash, suffix_dedup, toxicity, url_filter
+from quern.llm import bpe, difference_cover, inner_product, merkle, mixing, packing, pii, queries, simhash, suffix_dedup, toxicity, url_filter
 from quern.llm.shared import connected_components
 from quern.llm.token_counts import token_counts
 
@@ -408,3 +408,12 @@ def test_components(spark):
     path = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 100), (7, 7)] + [(200, 200 + k) for k in range(1, 30)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert found == {k: 0 for k in range(41)} | {100: 100, 101: 100} | {k: 200 for k in range(200, 230)}
+
+
+def test_difference_cover(spark):
+    """Ranks give the suffixes in sorted order, repetitive strings and equal strings included."""
+    random.seed(3)
+    texts = [(k, "".join(random.choice("ab") for _ in range(random.randint(0, 50)))) for k in range(8)] + [(50, "ab" * 20), (51, "ab" * 20), (52, None)]
+    ranks = difference_cover.suffix_ranks(difference_cover.byte_symbols(spark.createDataFrame(texts, "sid long, text string")), 10**6).collect()
+    found = [dict(texts)[r.sid][r.idx :] for r in sorted(ranks, key=lambda r: r["rank"])]
+    assert found == sorted(t[k:] for _, t in texts for k in range(len(t or "")))

@@ -76,7 +76,7 @@ def scan(queries: np.ndarray, codes: np.ndarray, books: Codebooks) -> np.ndarray
     low = tables.min(axis=2, keepdims=True)
     step = np.maximum((tables.max(axis=2, keepdims=True) - low).max(axis=1, keepdims=True) / 255, 1e-30)
     table = np.rint((tables - low) / step).astype(np.uint16)
-    total = np.zeros((len(queries), len(codes)), np.uint16)
+    total = np.zeros((len(queries), len(codes)), np.uint16 if subspaces * 255 < 1 << 16 else np.uint32)
     for m in range(0, subspaces - 1, 2):
         pair = (table[:, m, :, None] + table[:, m + 1, None, :]).reshape(len(queries), 256)
         total += pair[:, codes[:, m].astype(np.intp) * 16 + codes[:, m + 1]]

@@ -16,6 +16,7 @@ from quern.llm.shared import arrow_schema, partitions, slices
 
 #: Up to four words, fewer at the end of a sentence, with the blanks after them; or blanks alone.
 PHRASE = re.compile(r"(?:\S*[^\s.!?]\s+){0,3}\S+\s*|\s+")
+LINE = re.compile(r"[^\n]*\n|[^\n]+")
 #: A section ends after a paragraph whose digest starts with a byte divisible by this, or after a blank one.
 SECTION = 8
 
@@ -57,7 +58,7 @@ def tree(text: str, known: dict[str, Paragraph] | None = None) -> Tree:
     """``known`` saves work on paragraphs that another version of the text has as well."""
     known = {} if known is None else known
     sections, open_ = [], []
-    for line in text.splitlines(keepends=True) if "\r" not in text and "\n" in text else re.findall(r"[^\n]*\n|[^\n]+", text):
+    for line in LINE.findall(text):
         paragraph = _paragraph(line, known)
         open_.append(paragraph)
         if paragraph.digest[0] % SECTION == 0 or not line.strip():

@@ -118,11 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, vocabulary: int
             error = F.sqrt(F.col("all") / totals["all"] * (1 - F.col("all") / (totals["all"] + 1.0)) * (1 / some + 1 / none))
             chosen |= {r["word"] for r in counts.orderBy(F.desc(F.abs(a - b) / error), "word").limit(vocabulary).collect()}
     index = {w: k for k, w in enumerate(sorted(chosen))}
-    if index:
-        listed = spark.createDataFrame([(sorted(index),)], "every array<string>")
-        had = marked.join(F.broadcast(listed)).select("id", *names, F.array_intersect("words", "every").alias("has")).orderBy("id", "has").collect()
-    else:
-        had = marked.select("id", *names, F.array().cast("array<string>").alias("has")).orderBy("id").collect()
+    every = F.array(*[F.lit(w) for w in index]).cast("array<string>")
+    had = marked.select("id", *names, F.array_intersect("words", every).alias("has")).orderBy("id", "has").collect()
     x, y = np.zeros((len(had), len(index))), np.array([[r[n] for n in names] for r in had], np.float64).reshape(len(had), len(names))
     for k, r in enumerate(had):
         x[k, [index[w] for w in r["has"]]] = 1

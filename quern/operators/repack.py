@@ -172,3 +172,9 @@ def best_candidate(candidates: DataFrame, group: Column, size: Column, ordinal:
     """The smallest of a group's candidates, the first of equals."""
     item = F.struct(size.alias("size"), ordinal.alias("ordinal"), *rest)
     return candidates.where(size.isNotNull()).groupBy(group).agg(F.min(item).alias("best")).select("*", "best.*").drop("best")
+
+
+def repack_standalone(files: DataFrame, options: Options = Options(), keep_content: bool = True) -> DataFrame:
+    """``repack`` of the plain files alone: archives and unsupported files are no part of the result."""
+    plain = identified(files).where(F.coalesce(F.col("kind.family") == "standalone", F.lit(False))).drop("kind")
+    return repack(plain, options, keep_content)

@@ -96,3 +96,25 @@ def test_arrivals(spark, tmp_path):
         query.awaitTermination(120)
         found = {r.path.rpartition("/")[2]: r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()}
         assert len(found) == 2 + round_ and found["a.json"] == "packed" and found["b.txt"] == "skipped"
+
+
+def test_bulk(spark, tmp_path):
+    from quern.plans.bulk import bulk
+
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/sub/a.json").write_bytes(b"[1,  2]")
+    (tmp_path / "in/b.txt").write_bytes(b"text")
+    results, total = bulk(spark, str(tmp_path / "in"), Options(dryrun=True))
+    assert (tmp_path / "in/sub/a.json").read_bytes() == b"[1,  2]" and total.first().total_saved == 2
+    bulk(spark, str(tmp_path / "in"), output_dir=str(tmp_path / "out"))
+    assert (tmp_path / "out/sub/a.json").read_bytes() == b"[1,2]" and (tmp_path / "out/b.txt").read_bytes() == b"text"
+    results, total = bulk(spark, str(tmp_path / "in"), backup=True)
+    assert (tmp_path / "in/sub/a.json.bak").read_bytes() == b"[1,  2]" and (tmp_path / "in/sub/a.json").read_bytes() == b"[1,2]"
+    assert {r.path.rpartition("/")[2]: r.status for r in results.collect()} == {"a.json": "packed", "b.txt": "skipped"}
+
+
+def test_standalone(spark):
+    from quern.operators.repack import repack_standalone
+
+    rows = spark.createDataFrame([("a.json", b"[1,  2]"), ("b.docx", zipped(("a.json", b"[1,  2]"))), ("c.txt", b"x")], "path string, content binary")
+    assert [(r.path, r.status) for r in repack_standalone(rows).collect()] == [("a.json", "packed")]

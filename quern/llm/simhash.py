@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.llm.shared import arrow_schema, connected_components, partitions, slices, texts, written
+from quern.llm.shared import arrow_schema, connected_components, partitions, slices, small, texts, written
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 BLANKS = {c: 32 for c in range(9, 14)}
@@ -175,26 +175,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Columns that tell rows apart: id (absent ids last), 128 bits of the text, the row's other values.
+ROW_KEY = ["k_none", "k_id", "k_1", "k_2", "k_row"]
+
+
+def row_key(docs: DataFrame, id_column: str, text_column: str) -> list[Column]:
+    own, text = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`")
+    values = [F.map_entries(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    keys = own.isNull(), F.coalesce(own, F.lit(0).cast("long")), F.xxhash64(text), F.xxhash64(F.lit(7), text), F.xxhash64(F.struct(*values))
+    return [k.alias(name) for k, name in zip(keys, ROW_KEY, strict=True)]
+
+
+def one_of_each(docs: DataFrame, named: DataFrame, placed: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``docs`` with the first row, by ``ROW_KEY``, of each component. ``named``: (``ROW_KEY``, fp) of every row;
+    ``placed``: (fp, component). Rows alike in their whole key are counted, and one of them stays."""
+    copies = named.groupBy("fp", *ROW_KEY).agg(F.count(F.lit(1)).alias("copies"))
+    heads = copies.join(placed, "fp").groupBy("component").agg(F.min(F.struct(*ROW_KEY, "copies")).alias("head")).select("head.*")
+    heads = written(heads, "heads")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(docs, id_column, text_column))
+    single = rows.join(heads.where("copies = 1"), ROW_KEY, "left_semi").select("row.*")
+    more = heads.where("copies > 1")
+    n = more.count()
+    if not n:
+        return single
+    again = rows.join(small(more, n), ROW_KEY, "left_semi").groupBy(*ROW_KEY).agg(F.any_value("row").alias("row"))
+    return single.unionByName(again.select("row.*"))
+
+
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one of smallest id; columns as they were.
 
-    Rows are kept by id. Where an id has several rows, those are told apart by a hash of the text; of rows that
-    are alike in both, or have no id, one stays for each group.
+    Rows are kept by a key of their own and not by id, so ids may repeat or be null: of equal ids the least hash of
+    the text goes first, null ids come last, and of rows that are alike in everything one stays.
     """
-    found = written(components(docs, shingle, distance, id_column, text_column), "components")
-    own = F.col(f"`{id_column}`").cast("long")
-    head = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = "__kept"
-    while kept in docs.columns:
-        kept += "_"
-    counts = head.groupBy(F.col("doc_id").alias(kept)).count()
-    once, more = counts.where("count = 1").select(kept), counts.where("count > 1").select(kept)
-    single = docs.join(once, own.eqNullSafe(F.col(kept)), "left_semi")
-    if not more.limit(1).count():
-        return single
-    again = docs.join(F.broadcast(more) if more.count() <= 100_000 else more, own.eqNullSafe(F.col(kept)), "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = again.select(row.alias("row"), own.alias("__id"), simhash_of(F.col(f"`{text_column}`"), shingle).alias("__fp"))
-    named = head.select(F.col("fp").alias("__fp"), "component").distinct()
-    first = W.partitionBy("component").orderBy("__id", F.xxhash64("row"))
-    return single.unionByName(rows.join(named, "__fp").withColumn("__n", F.row_number().over(first)).where("__n = 1").select("row.*"))
+    named = written(docs.select(*row_key(docs, id_column, text_column), simhash_of(F.col(f"`{text_column}`"), shingle).alias("fp")), "named-rows")
+    prints = written(named.select("fp").distinct(), "distinct-prints")
+    linked = connected_components(links_between(prints, distance))
+    placed = prints.join(linked, prints.fp == linked.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    return one_of_each(docs, named, placed, id_column, text_column)

@@ -14,7 +14,7 @@ from quern.llm.shared import arrow_schema, slices, texts
 
 FIELDS = {
     "doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(),
-    "sequence_id": pa.int64(), "offset": pa.int64(), "loss_tokens": pa.int64(),
+    "sequence_id": pa.int64(), "offset": pa.int64(), "loss_tokens": pa.int64(), "ids": pa.list_(pa.int32()),
 }
 
 
@@ -78,7 +78,8 @@ def pack(docs: DataFrame, max_tokens: int = 1024, max_segments: int = 128, max_l
          end_id: int = 0, pool: int = 512, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text", prompt_tokens_column: str | None = None) -> DataFrame:
     """Pieces of all documents laid into sequences; one row per piece: ``doc_id``, ``start`` (ids of its document
     before it), ``length``, ``ids_crc32``, ``doc_tokens`` (with the end id), ``sequence_id``, ``offset`` (gapless from
-    0 in its sequence) and ``loss_tokens``.
+    0 in its sequence), ``loss_tokens`` and ``ids`` (its token ids; ``ids_crc32`` is the checksum of their little-endian
+    bytes). The pieces of a sequence by ``offset``, ids joined, are the training sequence.
 
     A document's ids are the tokenizer's, without special tokens, then ``end_id``; each id lies in exactly one
     piece. Whole runs of ``max_tokens`` fill sequences alone; the remainders are packed by ``Bins`` within each
@@ -105,7 +106,7 @@ def pack(docs: DataFrame, max_tokens: int = 1024, max_segments: int = 128, max_l
             nonlocal sequence
             at = 0
             for x in pieces:
-                rows.append((x["doc"], x["start"], x["length"], zlib.crc32(x["ids"]), x["total"], sequence, at, x["loss"]))
+                rows.append((x["doc"], x["start"], x["length"], zlib.crc32(x["ids"]), x["total"], sequence, at, x["loss"], np.frombuffer(x["ids"], "<i4")))
                 at += x["length"]
             sequence += 1
 

@@ -47,7 +47,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), max_tokens=1024)
+    return pack(table(spark, sf_dir, "documents"), max_tokens=1024).drop("ids")
 
 
 URL_RULES = (

@@ -40,7 +40,7 @@ def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
 
 def arrow_schema(fields: dict[str, pa.DataType]) -> tuple[pa.Schema, str]:
     """An Arrow schema and the same as a DDL string."""
-    names = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.bool_(): "boolean", pa.binary(): "binary"}
+    names = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(pa.int32()): "array<int>"}
     return pa.schema(list(fields.items())), ", ".join(f"`{k}` {names[v]}" for k, v in fields.items())
 
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,6 @@ from pyspark.sql import functions as F
 from quern.llm.shared import arrow_schema, partitions, shared_folder, slices, written
 
 GRAM = 8
-EMPTY_SHA = sha256(b"").hexdigest()
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
@@ -192,26 +190,24 @@ def _compare(members: DataFrame, window: int, band: int = 16, most: int = 4096)
     return dealt.mapInArrow(run, ddl).groupBy("core", "context").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
 
 
-def _removed(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """(t1, t2, n_removed, n_spans, kept_sha256) for texts with ``spans`` array<(a, b)>."""
-    schema, ddl = arrow_schema({"t1": pa.int64(), "t2": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()})
+def _cut(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept) for rows (doc_id, text, spans): maximal runs, and the bytes outside them."""
+    pair = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pair), ("kept", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 out = []
-                for t1, t2, text, some in zip(*(part.column(c).to_pylist() for c in ("t1", "t2", "text", "spans")), strict=True):
-                    data, runs = text.encode(), merged((x["a"], x["b"]) for x in some)
-                    kept, at = sha256(), 0
-                    for a, b in runs:
-                        kept.update(data[at:a])
-                        at = b
-                    kept.update(data[at:])
-                    out.append((t1, t2, sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 5
+                for doc, text, some in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
+                    data, runs = text.encode(), merged((x["a"], x["b"]) for x in some or ())
+                    edges = [0, *[e for r in runs for e in r], len(data)]
+                    kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                    out.append((doc, len(data), [{"a": a, "b": b} for a, b in runs], kept))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    return texts.join(spans, ["t1", "t2"]).select("t1", "t2", "text", "spans").mapInArrow(run, ddl)
+    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary")
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -249,11 +245,11 @@ def repeated_spans(texts: DataFrame, length: int, window: int) -> DataFrame:
     return hits.groupBy("t1", "t2").agg(F.collect_list(F.struct(a.alias("a"), b.alias("b"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and
-    ``kept_sha256`` (of the bytes left, concatenated). Removed is each byte covered by a string of ``length`` bytes
-    that also starts anywhere else in the corpus, in the same document or another; strings do not cross documents
-    and are judged on the input.
+def cut_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The cleaned corpus, one row per document: ``doc_id``, ``n_bytes`` (of the input), ``spans`` (maximal removed runs
+    of bytes, from a up to before b) and ``kept`` (the bytes left, concatenated; a cut may fall within a code point).
+    Removed is each byte covered by a string of ``length`` bytes that also starts anywhere else in the corpus, in the
+    same document or another; strings do not cross documents and are judged on the input.
 
     A null text is an empty one. Null ids and repeated rows count as documents of their own, so rows with equal
     texts of at least ``length`` bytes lose every byte. An empty table gives an empty result; other columns are
@@ -265,11 +261,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), text.alias("text")).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(7), "text"))
     texts = distinct_texts(rows, length)
-    spans = written(repeated_spans(texts, length, window), "spans")
-    some = _removed(texts, spans)
-    copies = texts.where("copies > 1").select("t1", "t2", F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"))
-    done = written(some.unionByName(copies), "removed")
-    narrow = rows.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    joined = narrow.join(done, ["t1", "t2"], "left")
-    gone = F.when(F.col("n_removed") < 0, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
-    return joined.select("doc_id", "n_bytes", gone.cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    some = repeated_spans(texts, length, window)
+    copies = texts.where("copies > 1").select("t1", "t2", F.array(F.struct(F.lit(0).alias("a"), F.octet_length("text").alias("b"))).alias("spans"))
+    spans = written(some.unionByName(copies), "spans")
+    return _cut(rows.join(spans, ["t1", "t2"], "left"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``cut_repeats`` in figures, one row per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and
+    ``kept_sha256`` (of the bytes left)."""
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
+    return cut_repeats(docs, length, id_column, text_column).select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -11,8 +11,9 @@ import sqlite3
 import struct
 import tempfile
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -20,6 +21,7 @@ import zstandard
 from pyarrow import orc
 
 from quern.functions import markup
+from quern.functions.registry import MAX_EXTRACT_BYTES, MAX_EXTRACT_RATIO, PDF_PROFILES
 
 
 @dataclass(frozen=True)
@@ -40,27 +42,81 @@ class Options:
     exclude: tuple[str, ...] = ()
     exclude_dirs: tuple[str, ...] = ()
     skip_zip: bool = True
+    jpeg_quality: int | None = None
+    png_quality: str | None = None
+    pdf_profile: str | None = None
+    lossy: bool = False
+    wmv_lossless: bool = False
+    convert_container: bool = True
+    keep_meta: bool = False
     max_extract_bytes: int | None = None
     max_extract_ratio: float | None = None
     max_depth: int = 4
+    max_rebuilt_bytes: int = 1 << 30  # an archive's members meet in one task, and its bytes in one value
+
+    def __post_init__(self) -> None:
+        wrong = [
+            ("compression_level", not 0 <= self.compression_level <= 9), ("jpeg_quality", self.jpeg_quality is not None and not 1 <= self.jpeg_quality <= 100),
+            ("png_quality", self.png_quality not in (None, "high", "medium", "low")), ("min_savings", self.min_savings is not None and not 0 <= self.min_savings <= 100),
+            ("pdf_profile", self.pdf_profile is not None and self.pdf_profile.strip().lower().lstrip("/") not in PDF_PROFILES),
+            ("max_size", min(self.min_size, self.max_size) < 0 or 0 < self.max_size < self.min_size), ("max_depth", self.max_depth < 0)]
+        if bad := [name for name, off in wrong if off]:
+            raise ValueError(f"options out of range: {', '.join(bad)}")
+
+    def extract_budget(self, size: int) -> int | None:
+        """The most bytes that a file of ``size`` bytes may give when unpacked; None without a limit."""
+        most = MAX_EXTRACT_BYTES if self.max_extract_bytes is None else self.max_extract_bytes
+        ratio = MAX_EXTRACT_RATIO if self.max_extract_ratio is None else self.max_extract_ratio
+        return min([x for x in (most, int(size * ratio)) if x > 0], default=None)
+
+
+#: Kind -> a reader of the payload over the stream's bytes.
+READERS: dict[str, Callable] = {
+    **dict.fromkeys(("gz", "svgz"), lambda data: gzip.GzipFile(fileobj=io.BytesIO(data))),
+    "bz2": lambda data: bz2.BZ2File(io.BytesIO(data)),
+    **dict.fromkeys(("xz", "lzma"), lambda data: lzma.LZMAFile(io.BytesIO(data))),
+    "zst": lambda data: zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True),
+    "br": lambda data: pa.CompressedInputStream(pa.BufferReader(data), "brotli"),
+    "lz4": lambda data: pa.CompressedInputStream(pa.BufferReader(data), "lz4"),
+}
+DAMAGE = (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError)
+CHUNK = 1 << 20
+
+
+def payload(kind: str, data: bytes) -> Iterator[bytes]:
+    """The payload of a compressed stream in pieces of at most 1 MiB; raises one of ``DAMAGE``."""
+    reader = READERS[kind](data)
+    while piece := reader.read(CHUNK):
+        yield piece
 
 
-def decoded(kind: str, data: bytes) -> bytes | None:
-    """The payload of a compressed stream; None if it is damaged or the codec is not at hand."""
+def decoded(kind: str, data: bytes, most: int | None = None) -> bytes | None:
+    """The whole payload; None if it is damaged, the codec is not at hand, or there are more than ``most`` bytes, of
+    which no more than a piece is decoded beyond."""
+    if kind not in READERS:
+        return None
+    out, size = [], 0
     try:
-        if kind in ("gz", "svgz"):
-            return gzip.decompress(data)
-        if kind == "bz2":
-            return bz2.decompress(data)
-        if kind in ("xz", "lzma"):
-            return lzma.decompress(data)
-        if kind == "zst":
-            return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
-        if kind in ("br", "lz4"):
-            return pa.CompressedInputStream(pa.BufferReader(data), {"br": "brotli", "lz4": "lz4"}[kind]).read()
-    except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
+        for piece in payload(kind, data):
+            size += len(piece)
+            if most is not None and size > most:
+                return None
+            out.append(piece)
+    except DAMAGE:
         return None
-    return None
+    return b"".join(out)
+
+
+def fingerprint(kind: str, data: bytes) -> tuple[int, bytes] | None:
+    """Length and SHA-256 of a payload, a piece at a time; None if it is damaged."""
+    size, digest = 0, sha256()
+    try:
+        for piece in payload(kind, data):
+            size += len(piece)
+            digest.update(piece)
+    except DAMAGE:
+        return None
+    return size, digest.digest()
 
 
 def head(kind: str, data: bytes, size: int = 512) -> bytes:
@@ -76,37 +132,46 @@ def head(kind: str, data: bytes, size: int = 512) -> bytes:
             return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read(size)
         if kind in ("br", "lz4"):
             return pa.CompressedInputStream(pa.BufferReader(data), {"br": "brotli", "lz4": "lz4"}[kind]).read(size)
-    except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
+    except DAMAGE:
         return b""
     return b""
 
 
 def encoded(kind: str, payload: bytes, level: int = 9) -> bytes | None:
     """The payload as a stream of ``kind`` at its strongest setting; None for kinds without a codec here."""
-    if kind in ("gz", "svgz"):
-        return gzip.compress(payload, min(9, max(1, level)), mtime=0)
-    if kind == "bz2":
-        return bz2.compress(payload, 9)
-    if kind in ("xz", "lzma"):
-        # a dictionary beyond the payload saves nothing and costs its allocation
-        room = min(64 << 20, max(4096, 1 << max(0, len(payload) - 1).bit_length()))
-        chain = [{"id": lzma.FILTER_LZMA2 if kind == "xz" else lzma.FILTER_LZMA1, "preset": 9, "dict_size": room}]
-        return lzma.compress(payload, lzma.FORMAT_XZ if kind == "xz" else lzma.FORMAT_ALONE, filters=chain)
-    if kind == "zst":
-        return zstandard.ZstdCompressor(level=19).compress(payload)
+    return encoded_pieces(kind, [payload], len(payload), level)
+
+
+def encoded_pieces(kind: str, pieces: Iterable[bytes], size: int, level: int = 9) -> bytes | None:
+    """``encoded`` for a payload of ``size`` bytes that comes in pieces."""
     if kind in ("br", "lz4"):
         sink = pa.BufferOutputStream()
         with pa.CompressedOutputStream(sink, {"br": "brotli", "lz4": "lz4"}[kind]) as out:
-            out.write(payload)
+            for piece in pieces:
+                out.write(piece)
         return sink.getvalue().to_pybytes()
-    return None
+    if kind in ("gz", "svgz"):
+        made = zlib.compressobj(min(9, max(1, level)), zlib.DEFLATED, 31)
+    elif kind == "bz2":
+        made = bz2.BZ2Compressor(9)
+    elif kind in ("xz", "lzma"):
+        # a dictionary beyond the payload saves nothing and costs its allocation
+        room = min(64 << 20, max(4096, 1 << max(0, size - 1).bit_length()))
+        chain = [{"id": lzma.FILTER_LZMA2 if kind == "xz" else lzma.FILTER_LZMA1, "preset": 9, "dict_size": room}]
+        made = lzma.LZMACompressor(lzma.FORMAT_XZ if kind == "xz" else lzma.FORMAT_ALONE, filters=chain)
+    elif kind == "zst":
+        made = zstandard.ZstdCompressor(level=19).compressobj(size=size)
+    else:
+        return None
+    return b"".join([*map(made.compress, pieces), made.flush()])
 
 
 def stream(kind: str) -> Callable[[bytes, Options], bytes | None]:
+    """Packer of a stream kind. The payload is decoded three times, to measure, to encode and to check, and never held."""
     def pack(data: bytes, options: Options) -> bytes | None:
-        payload = decoded(kind, data)
-        out = encoded(kind, payload) if payload is not None else None
-        return out if out is not None and decoded(kind, out) == payload else None
+        was = fingerprint(kind, data)
+        out = encoded_pieces(kind, payload(kind, data), was[0]) if was is not None else None
+        return out if out is not None and fingerprint(kind, out) == was else None
     return pack
 
 
@@ -125,8 +190,8 @@ def pack_xml(data: bytes, options: Options) -> bytes | None:
 
 
 def pack_svgz(data: bytes, options: Options) -> bytes | None:
-    payload = decoded("svgz", data)
-    small = pack_xml(payload, options) if payload is not None else None
+    text = decoded("svgz", data, options.extract_budget(len(data)))
+    small = pack_xml(text, options) if text is not None else None
     return encoded("svgz", small) if small is not None else None
 
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions import registry as R
 from quern.functions.decide import decision
@@ -22,7 +23,7 @@ from quern.functions.verify import verify
 from quern.operators import containers
 from quern.operators.codecs import PACKERS, Options, holds_tar
 from quern.operators.dicom import packable
-from quern.plans.tables import written
+from quern.plans.tables import bounded_batches, written
 
 
 @F.arrow_udf(T.BooleanType())
@@ -79,32 +80,60 @@ def opened(archives: DataFrame) -> DataFrame:
     return archives.select("id", "family", "content").mapInArrow(run, MEMBERS)
 
 
-@F.arrow_udf(T.StructType([T.StructField("size", T.LongType()), T.StructField("signed", T.BooleanType())]))
-def _inspect(family: pa.Array, key: pa.Array, content: pa.Array) -> pa.Array:
-    rows = [(containers.declared_size(f, c), f == "zip" and containers.is_signed(k, c)) if f is not None and c is not None else (None, False)
-            for f, k, c in zip(family.to_pylist(), key.to_pylist(), content.to_pylist(), strict=True)]
-    return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_())], ["size", "signed"])
+KIND = T.StructType([T.StructField("key", T.StringType()), T.StructField("family", T.StringType()), T.StructField("packer", T.StringType()), T.StructField("is_archive", T.BooleanType())])
+LOOK = T.StructType([*KIND.fields, T.StructField("unpacked", T.LongType()), T.StructField("signed", T.BooleanType()), T.StructField("remark", T.BinaryType())])
+
+
+def _inspect(options: Options):
+    """A kind with what its archive says: unpacked size, signature, remark."""
+    @F.arrow_udf(LOOK)
+    def look(kinds: pa.Array, archive: pa.Array) -> pa.Array:
+        rows = []
+        for k, content in zip(kinds.to_pylist(), archive.to_pylist(), strict=True):
+            row = dict(k or {"is_archive": False}) | {"signed": False}
+            if content is not None:
+                row |= {"unpacked": containers.declared_size(row["family"], content, options.extract_budget(len(content)))}
+                row |= {"signed": containers.is_signed(row["key"], content), "remark": containers.comment(content)} if row["family"] == "zip" else {}
+            rows.append(row)
+        return pa.array(rows, to_arrow_type(LOOK))
+    # so that filters on what is found stay above it, and it is not worked out once more for each of them
+    return look.asNondeterministic()
+
+
+READABLE = ("zip", "tar", *(f"tar.{c}" for c in ("gz", "bz2", "xz", "zst", "br", "lz4", "lzma")))
+
+
+def with_name_reason(files: DataFrame, options: Options, size: str = "size") -> DataFrame:
+    """``files`` (path and a size) with ``barred``: why a file at the top is left alone, by its name and size, which is
+    what can be told before its bytes are read. Empty if nothing bars it so far; an .otf and the streams that may hold
+    a tar are only told apart by their bytes."""
+    path, size, ext = F.col("path"), F.col(size), last_ext(F.col("path"))
+    why = skip_reason(path, size, options.min_size, options.max_size, options.include, options.exclude)
+    why = F.when(in_excluded_dir(path, options.exclude_dirs), "excluded directory").when(F.lit(options.skip_zip) & is_plain_zip(path), "zip skipped").otherwise(why)
+
+    def by_kind(k: Column) -> Column:
+        out = F.when(k["key"].isNull(), "unsupported").when(~media_gate(k["packer"], options.pack_images), "media off")
+        out = out.when(k["is_archive"] & ~k["family"].isin(*READABLE), "tool missing")
+        return out.when(~k["is_archive"] & ~F.coalesce(k["packer"].isin(list(PACKERS)), F.lit(False)), "tool missing").otherwise("")
+
+    named = F.transform(F.array(kind(path)), by_kind)[0]  # the kind is worked out once, not for each of its fields
+    return files.withColumn("barred", F.when(why != "", why).when(ext.isin("otf", *R.PEEKED), "").otherwise(named))
 
 
 def _classified(rows: DataFrame, depth: int, options: Options) -> DataFrame:
-    """Rows with key, family, packer, is_archive and the reason, if any, that bars them from packing."""
-    known = identified(rows).withColumn("size", F.octet_length("content"))
-    known = known.withColumn("key", F.col("kind.key")).withColumn("family", F.col("kind.family")).withColumn("packer", F.col("kind.packer"))
-    known = known.withColumn("is_archive", F.coalesce(F.col("kind.is_archive"), F.lit(False))).drop("kind")
-    look = _inspect(F.when(F.col("is_archive"), F.col("family")), F.col("key"), F.when(F.col("is_archive"), F.col("content")))
-    known = known.withColumn("look", look)
-    readable = F.col("family").isin("zip", "tar", *[f"tar.{c}" for c in ("gz", "bz2", "xz", "zst", "br", "lz4", "lzma")])
-    why = F.lit("") if depth else skip_reason(F.col("path"), F.col("size"), options.min_size, options.max_size, options.include, options.exclude)
-    if not depth:
-        why = F.when(in_excluded_dir(F.col("path"), options.exclude_dirs), "excluded directory").when(F.lit(options.skip_zip) & is_plain_zip(F.col("path")), "zip skipped").otherwise(why)
-    gate = F.when(F.col("content").isNull(), "no content").when(why != "", why).when(F.col("key").isNull(), "unsupported")
-    gate = gate.when(~nested_gate(F.col("is_archive"), F.lit(depth), options.pack_archives), "nested archive").when(~media_gate(F.col("packer"), options.pack_images), "media off")
-    gate = gate.when(F.col("is_archive") & ~readable, "tool missing").when(F.col("is_archive") & F.col("look.size").isNull(), "damaged")
-    gate = gate.when(F.col("look.signed"), "signed")
-    gate = gate.when(F.col("is_archive") & exceeds_extract_limit(F.col("look.size"), F.col("size"), options.max_extract_bytes, options.max_extract_ratio), "over extract limit")
-    gate = gate.when(F.col("is_archive") & F.lit(depth >= options.max_depth), "too deep")
-    gate = gate.when(~F.col("is_archive") & ~F.coalesce(F.col("packer").isin(list(PACKERS)), F.lit(False)), "tool missing")
-    return known.withColumn("reason", gate.otherwise("")).drop("look")
+    """Rows with key, family, packer, is_archive, an archive's remark and the reason, if any, that bars them from packing."""
+    known = identified(rows)
+    known = known.withColumn("look", _inspect(options)("kind", F.when(F.col("kind.is_archive"), F.col("content")))).drop("kind")
+    known = known.select(*rows.columns, F.octet_length("content").alias("size"), "look.*")
+    known = with_name_reason(known, options) if not depth else known.withColumn("barred", F.lit(""))
+    archive, plain = F.col("is_archive"), ~F.col("is_archive")
+    gate = F.when(F.col("content").isNull(), "no content").when(F.col("barred") != "", F.col("barred")).when(F.col("key").isNull(), "unsupported")
+    gate = gate.when(~nested_gate(archive, F.lit(depth), options.pack_archives), "nested archive").when(~media_gate(F.col("packer"), options.pack_images), "media off")
+    gate = gate.when(archive & ~F.col("family").isin(*READABLE), "tool missing").when(archive & F.col("unpacked").isNull(), "damaged").when(F.col("signed"), "signed")
+    gate = gate.when(archive & exceeds_extract_limit(F.col("unpacked"), F.col("size"), options.max_extract_bytes, options.max_extract_ratio), "over extract limit")
+    gate = gate.when(archive & (F.col("unpacked") > options.max_rebuilt_bytes), "too large to rebuild").when(archive & F.lit(depth >= options.max_depth), "too deep")
+    gate = gate.when(plain & ~F.coalesce(F.col("packer").isin(list(PACKERS)), F.lit(False)), "tool missing")
+    return known.withColumn("reason", gate.otherwise("")).drop("barred", "unpacked", "signed")
 
 
 def _decided(rows: DataFrame, options: Options, dryrun: bool) -> DataFrame:
@@ -121,26 +150,32 @@ def repack(files: DataFrame, options: Options = Options(), keep_content: bool =
 
     ``files``: path (unique) and content. A null content is skipped. Members are really packed on a dry run too, so
     that an archive's size is that of a real run; only the file itself is not replaced.
+
+    Nothing at the top is copied: the result is computed from ``files`` as it is read, so write it, or commit it, once.
+    To the shared folder go, for each level, the ids of its archives and, for members alone, their bytes as they will be
+    written; members are opened anew from the archive for each level, not kept unpacked.
     """
+    bounded_batches(files.sparkSession)
     level = files.select(F.col("path").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("ord"), "path", F.lit(None).cast("binary").alias("header"), "content")
     levels: list[DataFrame] = []
     for depth in range(options.max_depth + 1):
-        rows = written(_classified(level, depth, options), f"level{depth}")
+        rows = _classified(level, depth, options)
         levels.append(rows)
         archives = rows.where("is_archive and reason = ''")
-        if not options.deep_walking or archives.limit(1).count() == 0:
+        if not options.deep_walking or archives.isEmpty():
             break
         level = opened(archives)
     inner = None
     for depth in range(len(levels) - 1, -1, -1):
-        rows = packed(levels[depth].withColumn("packer", F.when(F.col("reason") == "", F.col("packer"))), options)
+        ready = levels[depth].withColumn("packer", F.when(F.col("reason") == "", F.col("packer")))
+        walked = F.col("is_archive") & (F.col("reason") == "") & F.lit(inner is not None)
+        rows = packed(ready.where(~walked), options).withColumns({c: F.lit(0).cast("long") for c in ("inner_count", "inner_insize", "inner_outsize")})
         if inner is not None:
-            rows = _closed(rows, inner, options)
-        else:
-            rows = rows.withColumn("inner_count", F.lit(0).cast("long")).withColumn("inner_insize", F.lit(0).cast("long")).withColumn("inner_outsize", F.lit(0).cast("long"))
+            rows = rows.unionByName(_closed(ready.where(walked), inner, options))
         rows = _decided(rows, options, options.dryrun and depth == 0)
         new = F.when(F.coalesce(F.col("result.replaced"), F.lit(False)), F.col("packed")).otherwise(F.col("content"))
-        inner = written(rows.withColumn("new", new).drop("packed"), f"packed{depth}")
+        rows = rows.withColumn("new", new)
+        inner = written(rows.select("parent", "ord", "path", "header", "result", "new"), f"packed{depth}") if depth else rows
     skipped = F.col("reason") != ""
     return inner.select(
         "path", "key", "family", F.when(skipped, "skipped").when(F.col("result.replaced"), "packed").otherwise("kept").alias("status"),
@@ -149,23 +184,24 @@ def repack(files: DataFrame, options: Options = Options(), keep_content: bool =
         F.coalesce("result.replaced", F.lit(False)).alias("replaced"), "inner_count", "inner_insize", "inner_outsize", *([F.col("new").alias("content")] if keep_content else []))
 
 
-def _closed(rows: DataFrame, inner: DataFrame, options: Options) -> DataFrame:
-    """Archives among ``rows`` put together from the rows of the level below; a group is one archive."""
-    families = rows.where("is_archive and reason = ''").select(F.col("id").alias("parent"), F.col("family").alias("outer"))
+def _closed(archives: DataFrame, inner: DataFrame, options: Options) -> DataFrame:
+    """``archives`` with ``packed``, put together from the rows of the level below; a group is one archive, which is
+    within ``max_rebuilt_bytes``."""
+    families = archives.select(F.col("id").alias("parent"), F.col("family").alias("outer"), F.col("key").isin(R.SENSITIVE).alias("bare"), "remark")
     grouped = inner.select("parent", "ord", F.col("path").alias("name"), "header", "new", F.col("result.insize").alias("i"), F.col("result.outsize").alias("o")).join(families, "parent")
 
     def put(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
+        top = pdf.iloc[0]
         some = [(n, h, None if c is None else bytes(c)) for n, h, c in zip(pdf["name"], pdf["header"], pdf["new"], strict=True)]
-        whole = containers.rebuilt(pdf["outer"].iloc[0], some, options.compression_level)
+        whole = containers.rebuilt(top["outer"], some, options.compression_level, bytes(top["remark"] or b""), bool(top["bare"]))
         done = pdf["i"].notna()
-        return pd.DataFrame({"parent": [pdf["parent"].iloc[0]], "whole": [whole], "inner_count": [int(done.sum())], "inner_insize": [int(pdf["i"][done].sum())], "inner_outsize": [int(pdf["o"][done].sum())]})
+        return pd.DataFrame({"parent": [top["parent"]], "whole": [whole], "inner_count": [int(done.sum())], "inner_insize": [int(pdf["i"][done].sum())], "inner_outsize": [int(pdf["o"][done].sum())]})
 
     made = grouped.groupBy("parent").applyInPandas(put, "parent string, whole binary, inner_count long, inner_insize long, inner_outsize long")
-    joined = rows.join(made.withColumnRenamed("parent", "of"), F.col("id") == F.col("of"), "left").drop("of")
+    joined = archives.join(made.withColumnRenamed("parent", "of"), F.col("id") == F.col("of"), "left").drop("of")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    kept = [c for c in rows.columns if c != "packed"]
-    return joined.select(*kept, F.coalesce("packed", "whole").alias("packed"), zero("inner_count"), zero("inner_insize"), zero("inner_outsize"))
+    return joined.select(*archives.columns, F.col("whole").alias("packed"), zero("inner_count"), zero("inner_insize"), zero("inner_outsize"))
 
 
 def best_candidate(candidates: DataFrame, group: Column, size: Column, ordinal: Column, *rest: str) -> DataFrame:

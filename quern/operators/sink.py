@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def backup_names(results: DataFrame, backup_dir: str | None = None) -> DataFrame:
@@ -28,42 +29,75 @@ def backup_names(results: DataFrame, backup_dir: str | None = None) -> DataFrame
     return named.withColumn("backup_path", F.concat(F.lit(backup_dir.rstrip("/") + "/"), name)).drop("__base", "__second", "__ext", "__n", "__m")
 
 
-def commit(results: DataFrame) -> DataFrame:
-    """Writes each replaced row's content to ``dest_path`` (else ``path``), after a backup to ``backup_path`` if that is
-    given; (path, written, error) per row. The new bytes go to a temporary file in the same folder and take the
-    name at once; a task that runs again finds the bytes in place and leaves the backup alone."""
-    columns = [c for c in ("path", "content", "replaced", "dest_path", "backup_path") if c in results.columns]
+def _by_row(rows: DataFrame, work, go_on: bool, gone: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` without the columns ``gone``, with ``written`` and ``error``: what ``work(row)`` returns, and its OSError;
+    with ``go_on`` off that error ends the job."""
+    kept = [f for f in rows.schema.fields if f.name not in gone]
+    schema = T.StructType([*kept, T.StructField("written", T.BooleanType()), T.StructField("error", T.StringType())])
 
-    def one(path: str, content: bytes, dest: str, backup: str | None) -> bool:
-        if os.path.exists(dest):
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part, out = batch.slice(k, 64), []
+                for row in part.to_pylist():
+                    try:
+                        out.append((bool(work(row)), None))
+                    except OSError as error:
+                        if not go_on:
+                            raise
+                        out.append((False, str(error)))
+                done = [pa.array([r[n] for r in out], t) for n, t in enumerate((pa.bool_(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *done], [*(f.name for f in kept), "written", "error"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _replaced(dest: str, fill: Callable[[str], None], like: str) -> None:
+    """``dest`` made by ``fill`` under another name in the same folder, with the mode of ``like``, then given its name."""
+    os.makedirs(os.path.dirname(dest), exist_ok=True)
+    handle, temp = tempfile.mkstemp(dir=os.path.dirname(dest), prefix=".new-")
+    os.close(handle)
+    try:
+        fill(temp)
+        if os.path.exists(like):
+            shutil.copymode(like, temp)
+        os.replace(temp, dest)
+    finally:
+        if os.path.exists(temp):
+            os.unlink(temp)
+
+
+def commit(results: DataFrame, everything: bool = False, go_on: bool = True) -> DataFrame:
+    """Writes each replaced row's content (``everything``: each row's) to ``dest_path``, else ``path``, after a backup to
+    ``backup_path`` if that is given. Returns the rows without their contents, with ``written`` and ``error``. The new
+    bytes go to a temporary file in the same folder and take the name at once; a task that runs again finds the bytes
+    in place and leaves the backup alone. ``go_on`` off: the first file that cannot be written ends the job."""
+    def work(row: dict) -> bool:
+        path, content, backup = row["path"], row["content"], row.get("backup_path")
+        dest = row.get("dest_path") or path
+        if content is None or not (everything or row["replaced"]):
+            return False
+        if os.path.exists(dest) and os.path.getsize(dest) == len(content):
             with open(dest, "rb") as file:
                 if file.read() == content:
                     return False
         if backup and os.path.exists(path) and not os.path.exists(backup):
             os.makedirs(os.path.dirname(backup), exist_ok=True)
             shutil.copy2(path, backup)
-        os.makedirs(os.path.dirname(dest), exist_ok=True)
-        handle, temp = tempfile.mkstemp(dir=os.path.dirname(dest), prefix=".new-")
-        try:
-            with os.fdopen(handle, "wb") as file:
+
+        def fill(temp: str) -> None:
+            with open(temp, "wb") as file:
                 file.write(content)
-            if os.path.exists(path):
-                shutil.copymode(path, temp)
-            os.replace(temp, dest)
-        finally:
-            if os.path.exists(temp):
-                os.unlink(temp)
+        _replaced(dest, fill, path)
         return True
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                try:
-                    done = bool(row["replaced"]) and one(row["path"], row["content"], row.get("dest_path") or row["path"], row.get("backup_path"))
-                    out.append((row["path"], done, None))
-                except OSError as error:
-                    out.append((row["path"], False, str(error)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.bool_(), pa.string()))], ["path", "written", "error"])
-
-    return results.select(*columns).mapInArrow(run, "path string, written boolean, error string")
+    columns = [c for c in results.columns if c not in ("dest_path", "backup_path")]
+    return _by_row(results, work, go_on, ("content", "dest_path", "backup_path")).select(*[c for c in columns if c != "content"], "written", "error")
+
+
+def mirrored(rows: DataFrame, go_on: bool = True) -> DataFrame:
+    """Copies each ``path`` to its ``dest_path``, file to file; the rows with ``written`` and ``error``."""
+    def work(row: dict) -> bool:
+        _replaced(row["dest_path"], lambda temp: shutil.copyfile(row["path"], temp), row["path"])
+        return True
+    return _by_row(rows, work, go_on)

@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import registry as R
-from quern.functions import sizes
+from quern.functions import plan, sizes
 from quern.functions.decide import decision, savings_pct
-from quern.functions.filters import category, exceeds_extract_limit, in_excluded_dir, is_plain_zip, media_gate, skip_reason
+from quern.functions.filters import category, exceeds_extract_limit, in_excluded_dir, is_plain_zip, media_gate, nested_gate, skip_reason
 from quern.functions.identify import basename, compound_suffix, ext_keys, is_supported, kind, last_ext, looks_like_tar
 from quern.functions.markup import image_uris, xml_without_gaps
-from quern.functions.verify import verify
+from quern.functions.verify import is_pdf_header, verify
 from quern.operators import codecs
-from quern.operators.repack import best_candidate, dicom_is_packable, opened, packed, repack
-from quern.plans.summary import bulk_summary, container_totals, csv_rows, legacy_view
+from quern.operators.repack import best_candidate, dicom_is_packable, opened, packed, repack, with_name_reason
+from quern.operators.sink import backup_names
+from quern.plans.summary import bulk_summary, container_totals, csv_rows, legacy_files, legacy_view, rates
 from quern.plans.tables import shared_folder, written
 
 #: Extensions that the made-up names go through: all that are known, compounds, and some that are not.
@@ -72,7 +73,7 @@ KINDS = [*R.PREFIXES, "tif", "webp", "mkv", "xml", "json", "pnm", "pcx", "ts", "
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.element_at(F.array(*[F.lit(x) for x in STARTS]), (F.col("doc_id") % len(STARTS) + 1).cast("int"))
     name = F.element_at(F.array(*[F.lit(x) for x in KINDS]), (F.floor(F.col("doc_id") / 3) % len(KINDS) + 1).cast("int"))
-    body = F.when(F.col("doc_id") % 7 == 0, F.lit(b"")).otherwise(F.encode(F.substring("text", 1, 24), "utf-8"))
+    body = F.when(F.col("doc_id") % 7 == 0, F.lit(b"")).otherwise(F.encode("text", "utf-8"))
     return table(spark, sf_dir, "documents").select("doc_id", name.alias("kind"), F.concat(start, body).alias("content"))
 
 
@@ -114,7 +115,7 @@ def xml_minify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def data_uri_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind_ = F.element_at(F.array(*[F.lit(x) for x in ("png", "JPEG", "svg+xml", "webp")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    body = F.base64(F.encode(F.substring("text", 1, 30), "utf-8"))
+    body = F.base64(F.encode("text", "utf-8"))
     text = F.concat(F.lit("<img src='data:image/"), kind_, F.lit(";base64,"), body, F.lit("'/><img src='data:image/gif;base64,R0lGODlh'/>"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(image_uris(text)).alias("u"))
     return rows.select("doc_id", "u.subtype", F.octet_length("u.data").cast("long").alias("bytes"), F.lower(F.hex("u.data")).alias("data"))
@@ -180,7 +181,18 @@ def container_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def legacy_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = legacy_view(_results(spark, sf_dir), "source")
-    return view.select("source", F.col("stats")[0].alias("n"), F.col("stats")[1].alias("insize"), F.col("stats")[2].alias("outsize"), F.col("final")[2].alias("pct"), F.size("files").cast("long").alias("listed"), F.col("files")[0]["path"].alias("first_path"))
+    return view.select("source", F.col("stats")[0].alias("n"), F.col("stats")[1].alias("insize"), F.col("stats")[2].alias("outsize"), F.col("final")[2].alias("pct"), "first_path")
+
+
+def legacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return legacy_files(_results(spark, sf_dir), "source").select("source", "file.*")
+
+
+def bulk_totals_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals with files that could not be written, for a run that goes on and for one that stops at the first of them."""
+    rows = _results(spark, sf_dir).withColumn("status", F.when(F.col("doc_id") % 19 == 18, "failed").otherwise(F.col("status")))
+    on, off = bulk_summary(rows), bulk_summary(rows, continue_on_error=False)
+    return on.withColumn("went_on", F.lit(True)).unionByName(off.withColumn("went_on", F.lit(False)))
 
 
 def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,14 +212,22 @@ def size_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(sizes.ext_list(F.concat(F.lit(" .Docx,,"), F.col("source"), F.lit(" , ..x"))), "|").alias("exts"))
 
 
+#: Codecs whose streams may follow each other in a file.
+DOUBLED = ("gz", "xz", "bz2", "zst")
+
+
 def stream_roundtrip(codec: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Each text as a stream of ``codec``, packed again, decoded: the text."""
+    """Each text as a stream of ``codec``, packed again, decoded: the text. Where the codec allows, the stream is made of
+    two, which a packer that does its work makes one and smaller."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         @F.arrow_udf("binary")
         def wrap(text):
             import pyarrow as pa
 
-            return pa.array([codecs.encoded(codec, (x or "").encode(), 1) for x in text.to_pylist()], pa.binary())
+            def one(data: bytes) -> bytes:
+                cuts = [0, len(data) // 2, len(data)] if codec in DOUBLED else [0, len(data)]
+                return b"".join(codecs.encoded(codec, data[a:b], 1) for a, b in zip(cuts, cuts[1:], strict=False))
+            return pa.array([one((x or "").encode()) for x in text.to_pylist()], pa.binary())
 
         @F.arrow_udf("string")
         def unwrap(data):
@@ -216,7 +236,8 @@ def stream_roundtrip(codec: str) -> Callable[[SparkSession, str], DataFrame]:
             return pa.array([codecs.decoded(codec, x).decode() for x in data.to_pylist()], pa.string())
 
         rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(codec).alias("packer"), wrap("text").alias("content"))
-        return packed(rows, codecs.Options()).select("doc_id", unwrap("packed").alias("text"))
+        made = packed(rows, codecs.Options()).select("doc_id", unwrap("packed").alias("text"), (F.octet_length("packed") < F.octet_length("content")).alias("less"))
+        return made.select("doc_id", "text", F.when(F.octet_length("text") >= 1000, F.col("less")).alias("smaller")) if codec in DOUBLED else made.select("doc_id", "text")
     return query
 
 
@@ -299,10 +320,11 @@ def nested_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
         with zipfile.ZipFile(sink, "w") as archive:
             for path, content in sorted(zip(pdf["path"], pdf["content"], strict=True)):
                 archive.writestr(path.rpartition("/")[2], content)
-        return pd.DataFrame({"path": [pdf["source"].iloc[0] + ".epub"], "content": [sink.getvalue()]})
+        return pd.DataFrame({"path": [f"{pdf['source'].iloc[0]}-{pdf['shelf'].iloc[0]}.epub"], "content": [sink.getvalue()]})
 
     inner = written(_archives(spark, sf_dir, "zip"), "inner").withColumn("source", F.substring_index("path", "/", 1))
-    outer = written(inner.groupBy("source").applyInPandas(nest, "path string, content binary"), "outer")
+    inner = inner.withColumn("shelf", F.expr("cast(regexp_extract(path, '/([0-9]+)[.]', 1) as long) div 8"))
+    outer = written(inner.groupBy("source", "shelf").applyInPandas(nest, "path string, content binary"), "outer")
     return repack(outer, keep_content=False).select("path", "status", "inner_count", (F.col("outsize") < F.col("insize")).alias("smaller"))
 
 
@@ -396,8 +418,81 @@ def dicom_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", dicom_is_packable(build("doc_id", "text")).alias("packable"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, size, packer, key, family and options as a user might ask for them)."""
+    k = F.col("doc_id")
+    pick = lambda items, n: F.element_at(F.array(*[F.lit(x).cast("string") for x in items]), (F.floor(k / n) % len(items) + 1).cast("int"))
+    return paths(spark, sf_dir).withColumn("kind", kind(F.col("path"))).select(
+        "doc_id", "path", "size", F.col("kind.packer").alias("packer"), F.col("kind.key").alias("key"), F.col("kind.family").alias("family"), (k % 3 == 0).alias("lossy"), F.when(k % 4 == 1, (k % 100 + 1).cast("int")).alias("quality"),
+        pick([None, "/Ebook", "screen", "ultra"], 2).alias("profile"), pick([None, "high", "low", None], 3).alias("png"), (k % 2 == 0).alias("ultra"), (k % 7 < 3).alias("keep"), (k % 5 != 0).alias("convert"), pick([None, "0", "1.5KB", "10MB"], 1).alias("limit"))
+
+
+def pdf_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).select("doc_id", plan.pdf_plan(F.col("lossy"), F.col("profile"), F.col("quality")).alias("p")).select("doc_id", "p.*")
+
+
+def image_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jpg, png = plan.jpg_plan(F.col("lossy"), F.col("quality"), F.col("keep")), plan.png_plan(F.col("lossy"), F.col("png"), F.col("ultra"))
+    return _asked(spark, sf_dir).select("doc_id", F.array_join(jpg["steps"], ",").alias("steps"), jpg["quality"].alias("quality"), jpg["metadata"].alias("metadata"), F.array_join(png["candidates"], ",").alias("candidates"), png["speed"].alias("speed"))
+
+
+def video_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _asked(spark, sf_dir).where(F.col("packer").isin(R.CATEGORIES["video"].split()))
+    return rows.select("doc_id", plan.video_plan(F.col("path"), F.col("packer"), F.col("convert"), F.col("ultra")).alias("p")).select("doc_id", "p.*")
+
+
+def packer_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).select("doc_id", "packer", F.array_join(plan.options_of(F.col("packer")), ",").alias("options"))
+
+
+def extract_limit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = plan.extract_limits(F.col("limit"))
+    return _asked(spark, sf_dir).select("doc_id", limits["bytes"].alias("bytes"), limits["ratio"].alias("ratio"), exceeds_extract_limit(F.col("size") * 90, F.col("size"), limits["bytes"], limits["ratio"]).alias("over"))
+
+
+def archive_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).where("family <> 'standalone'").groupBy(plan.archive_writer(F.col("key"), F.col("family")).alias("writer")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def name_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of an inventory is left alone before any bytes are read, and why."""
+    rows = with_name_reason(paths(spark, sf_dir), codecs.Options(min_size=300, pack_images=False))
+    return rows.groupBy(F.regexp_replace("barred", "[0-9]+ <", "n <").alias("reason")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+def nested_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that may be packed where archives within archives are left alone, by depth."""
+    rows = _asked(spark, sf_dir).where("family is not null").select((F.col("doc_id") % 3).cast("int").alias("depth"), (F.col("family") != "standalone").alias("is_archive"))
+    return rows.groupBy("depth", "is_archive").agg(F.count_if(nested_gate(F.col("is_archive"), F.col("depth"), False)).alias("open"), F.count(F.lit(1)).alias("members"))
+
+
+def pdf_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDF by its header: at the start after blanks, or behind other text within the first KiB."""
+    k, text = F.col("doc_id"), F.col("text")
+    content = F.when(k % 4 == 0, F.concat(F.lit(" \n%PDF"), text)).when(k % 4 == 1, F.concat(text, F.lit("%PDF-1.5"))).when(k % 4 == 2, F.concat(F.lit("x%PDF "), text)).otherwise(text)
+    return table(spark, sf_dir, "documents").select("doc_id", is_pdf_header(F.encode(content, "utf-8")).alias("is_pdf"))
+
+
+def run_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = bulk_summary(_results(spark, sf_dir), "source").withColumn("seconds", F.col("files_failed") + F.col("files_skipped") * 0.5)
+    return total.select("source", rates(F.col("files_processed"), F.col("seconds")).alias("r")).select("source", "r.*")
+
+
+def dir_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.col("source"), F.lit("/, \\"), F.col("lang"), F.lit("\\,, "), F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(sizes.dir_list(text), "|").alias("dirs"))
+
+
+def backup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in one backup folder for files whose basenames repeat."""
+    name = F.concat(F.lit("d/"), F.col("source"), F.lit("/f"), (F.col("doc_id") % 50).cast("string"), F.when(F.col("doc_id") % 2 == 0, ".json").otherwise(""))
+    rows = table(spark, sf_dir, "documents").select(name.alias("path")).distinct()
+    return backup_names(rows, "b")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [identify_kind, family_counts, ext_key_lists, filter_reasons, dir_prune, category_gate, magic_verify, tar_header, json_minify_savings, json_minify_text,
              xml_minify, data_uri_extract, commit_decision, min_savings, dryrun_vs_real, best_of_three, extract_guard, bulk_totals, container_rollup, legacy_final,
-             report_csv, size_functions, parquet_roundtrip, orc_roundtrip, zip_walk, tar_walk, nested_walk, sqlite_vacuum, psd_rezip, dicom_gate]
+             legacy_rows, bulk_totals_failed, pdf_plans, image_plans, video_plans, packer_options, extract_limit_texts, archive_writers, name_gate, nested_members,
+             pdf_headers, run_rates, dir_lists, backup_plan, report_csv, size_functions, parquet_roundtrip, orc_roundtrip, zip_walk, tar_walk, nested_walk, sqlite_vacuum, psd_rezip, dicom_gate]
     return {f.__name__: f for f in plain} | {f"stream_roundtrip_{c}": stream_roundtrip(c) for c in ("gz", "xz", "bz2", "lzma", "zst", "br", "lz4")}

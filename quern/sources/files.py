@@ -20,7 +20,8 @@ class Folder(InputPartition):
 class Inventory(DataSource):
     """``spark.read.format("quern_files").option("path", folder)``: path, rel_path, length, mtime of all files below.
 
-    Options: ``exclude_dirs`` (comma list, besides the usual ones), ``recursive`` (default true). Pruned folders are
+    Options: ``exclude_dirs`` (comma list, besides the usual ones), ``recursive`` (default true), ``splits`` (folders
+    that the driver looks into to deal the work out, default 256). Pruned folders are
     not entered. Spark's own recursive file source leaves out names that start with a dot or underscore.
     """
 
@@ -39,14 +40,20 @@ class _Lister(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"]
         self.recursive = options.get("recursive", "true").lower() == "true"
+        self.splits = int(options.get("splits", "256"))
         self.pruned = {*EXCLUDED_DIRS, *(x.strip().strip("/\\") for x in options.get("exclude_dirs", "").split(",") if x.strip())}
 
     def partitions(self) -> list[InputPartition]:
-        """One for the top folder's own files and one for each folder in it."""
-        found = [Folder(self.root, "", False)]
-        if self.recursive:
-            found += [Folder(self.root, x.name, True) for x in sorted(os.scandir(self.root), key=lambda x: x.name) if x.is_dir(follow_symlinks=False) and x.name not in self.pruned]
-        return found
+        """Folders are taken apart from the top, level by level, until there are ``splits`` of them: the own files of each
+        folder taken apart, and each folder not taken apart with all below it, are a partition. So one deep folder is
+        spread as well, and the driver lists no more than about ``splits`` folders."""
+        own, whole = [], [""]
+        while whole and self.recursive and len(own) + len(whole) < self.splits:
+            top = whole.pop(0)
+            own.append(top)
+            with os.scandir(os.path.join(self.root, top)) as entries:
+                whole += sorted(os.path.join(top, x.name) for x in entries if x.is_dir(follow_symlinks=False) and x.name not in self.pruned)
+        return [Folder(self.root, x, False) for x in (own if self.recursive else whole)] + [Folder(self.root, x, True) for x in whole if self.recursive]
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         for top, folders, names in os.walk(os.path.join(partition.root, partition.sub)):

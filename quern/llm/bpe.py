@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 
@@ -66,7 +65,7 @@ class Memo(dict):
 class Ids:
     """Token ids of whole texts as little-endian unsigned 32-bit values, from the tokenizers library."""
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.splitter, self.model = Splitter(path), Tokenizer.from_file(path).model
@@ -99,7 +98,7 @@ class PrefixCounts:
     that agrees with the last token of the prefix before it, and ``count[i] = count[i - len(last)] + 1``.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         import ahocorasick
 
         self.splitter = Splitter(path)
@@ -116,7 +115,7 @@ class PrefixCounts:
         for token, k in self.ids.items():
             self.tokens.add_word(token.decode("latin-1"), (k, len(token)))
         self.tokens.make_automaton()
-        self.agree = Memo(self._agree, most)
+        self.agree = Memo(self._agree, 2 * most)
         self.memo = Memo(lambda piece: int(self.prefixes(piece)[-1]), most)
 
     def _merge(self, data: bytes) -> list[bytes]:
@@ -202,15 +201,3 @@ class PrefixCounts:
                 return at + int(fits[-1]) + 1 if len(fits) else at
             done, at, before = done + here, at + len(piece), piece
         return at
-
-
-@lru_cache(maxsize=2)
-def prefix_counts(path: str) -> PrefixCounts:
-    """One for each Python worker, kept from task to task."""
-    return PrefixCounts(path)
-
-
-@lru_cache(maxsize=2)
-def token_ids(path: str) -> Ids:
-    """One for each Python worker, kept from task to task."""
-    return Ids(path)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import arrow_schema, partitions, slices
+from quern.llm.shared import arrow_schema, bounded_batches, partitions, slices
 
 #: Up to four words, fewer at the end of a sentence, with the blanks after them; or blanks alone.
 PHRASE = re.compile(r"(?:\S*[^\s.!?]\s+){0,3}\S+\s*|\s+")
@@ -134,6 +134,7 @@ def fingerprint_trees(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     A null text is an empty one, whose tree has no sections. Ids, repeated rows and empty tables pass through.
     """
+    bounded_batches(docs.sparkSession)
     ddl = "doc_id long, n_chars long, fingerprint string, sections array<struct<digest:string,n_chars:long,paragraphs:array<struct<digest:string,n_chars:long>>>>"
 
     def run(batches):
@@ -177,6 +178,7 @@ def edit_fingerprints(docs: DataFrame, buckets: int | None = None, id_column: st
     open a range go to the range before as well, so each range is walked in order with one row held.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"coalesce(`{text_column}`, '') as text")
     n = partitions(spark)
     buckets = buckets or 4 * n

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.shared import WORD, small, written
+from quern.llm.shared import WORD, bounded_batches, small, written
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -> list[float]:
@@ -130,6 +130,7 @@ def _lay(docs: DataFrame, row: Column | None, weights, most, block, seed, shard_
     """What ``mix`` decides; with ``row`` (a struct) that goes along. ``whole`` passes over the document, and ``runs``
     of its words (a up to before b) besides."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     counted = written(sizes(docs, id_column, text_column, source_column), "sizes")
     found = [(r["source"], r["words"]) for r in counted.groupBy("source").agg(F.sum("size").alias("words")).collect()]
     found.sort(key=lambda x: (x[0] is None, x[0] or ""))

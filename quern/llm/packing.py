@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quern.llm.bpe import default_path, token_ids
-from quern.llm.shared import arrow_schema, slices, texts
+from quern.llm.bpe import Ids, default_path
+from quern.llm.shared import arrow_schema, bounded_batches, for_a_task, slices, texts
 
 FIELDS = {
     "doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(),
@@ -91,14 +91,15 @@ def pack(docs: DataFrame, max_tokens: int = 1024, max_segments: int = 128, max_l
     occur; an empty table gives an empty result; other columns are not read. Narrow: no shuffle. Sequence ids
     are (partition, number within it), so a task that runs again gives the same rows.
     """
+    bounded_batches(docs.sparkSession)
     path = tokenizer or default_path()
     schema, ddl = arrow_schema(FIELDS)
     limits = (max_tokens, max_segments, max_loss_tokens or max_tokens)
     end = np.array([end_id], "<u4").tobytes()
     simple = limits[2] >= max_tokens
 
-    def run(batches):
-        encode, bins = token_ids(path), Bins(limits, slack, pool)
+    def run(encode, batches):
+        bins = Bins(limits, slack, pool)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         rows: list[tuple] = []
 
@@ -156,4 +157,4 @@ def pack(docs: DataFrame, max_tokens: int = 1024, max_segments: int = 128, max_l
         yield out()
 
     columns = [f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text", f"cast({f'`{prompt_tokens_column}`' if prompt_tokens_column else 'null'} as long) as prompt"]
-    return docs.selectExpr(*columns).mapInArrow(run, ddl)
+    return docs.selectExpr(*columns).mapInArrow(for_a_task(lambda: Ids(path), run), ddl)

@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What the contracts call a word: a run of bytes other than space and \t \n \v \f \r.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where none is configured (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
+from quern.plans.tables import bounded_batches, shared_folder, written
 
+__all__ = ["WORD", "arrow_schema", "bounded_batches", "connected_components", "for_a_task", "partitions", "shared_folder", "slices", "small", "texts", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: a lost executor costs no recomputation of what lies above."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: What the contracts call a word: a run of bytes other than space and \t \n \v \f \r.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def partitions(spark: SparkSession) -> int:
@@ -44,6 +32,18 @@ def arrow_schema(fields: dict[str, pa.DataType]) -> tuple[pa.Schema, str]:
     return pa.schema(list(fields.items())), ", ".join(f"`{k}` {names[v]}" for k, v in fields.items())
 
 
+def for_a_task(make: Callable, work: Callable) -> Callable:
+    """``work(made, batches)`` for ``mapInArrow``, with something large that each task makes anew and gives back at its
+    end: kept from task to task, idle Python workers would hold it through stages that do not ask for it."""
+    def run(batches):
+        try:
+            yield from work(make(), batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+    return run
+
+
 def slices(batch: pa.RecordBatch, rows: int = 1024, nbytes: int = 16 << 20):
     """``batch`` in pieces of at most ``rows`` rows and about ``nbytes``, so that few Python strings live at once."""
     step = max(1, min(rows, int(batch.num_rows * nbytes / max(1, batch.nbytes))))
@@ -56,27 +56,45 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for the undirected ``edges`` (a, b: long); component is the smallest node reachable.
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the undirected ``edges`` (a, b: long); component is the smallest node reachable. Nodes are
+    those of edges between two different nodes; edges with a null count for nothing.
 
-    Each round hooks every node to the least label among its neighbours and then jumps labels to their own
-    labels; rounds stop when none changes. Labels are written after each round, so lineage stays short. A hub is
-    only ever aggregated with ``min`` (partial sums before the shuffle) and joined; no neighbour list is built.
+    Each round every node hooks to its smallest neighbour, if that is smaller; the trees that come of it are flattened
+    to their roots, and the edges between roots are the next round's graph. Of the nodes that have neighbours, at most
+    half are left after two rounds (a node left has taken in at least one), so rounds grow with the logarithm of
+    the number of nodes, however ids lie along chains, and the graph shrinks as fast. A hub is only ever aggregated with
+    ``min`` and joined; no neighbour list is built, and nothing but "is there more" reaches the driver.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
-    for _ in range(rounds):
-        near = (
-            both.join(labels, both.b == labels.node)
-            .groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
-        )
-        hooked = labels.join(near, labels.node == near.n).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        # a label is itself a node: take that node's label as well
-        up = hooked.select(F.col("node").alias("p"), F.col("label").alias("up"))
-        new = written(
-            hooked.join(up, hooked.label == up.p).select("node", "old", F.least("label", "up").alias("label")), "labels")
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    graph = written(_ordered(edges.select("a", "b")), "edges")
+    levels = []
+    while not graph.isEmpty():
+        up = _flattened(graph.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("up")))
+        levels.append(up)
+        for end in ("high", "low"):
+            graph = graph.join(up, graph[end] == up.node, "left").withColumn(end, F.coalesce("up", end)).select("high", "low")
+        graph = written(_ordered(graph.select(F.col("high").alias("a"), F.col("low").alias("b"))), "edges")
+    found = edges.sparkSession.createDataFrame([], "node long, component long")
+    for up in reversed(levels):  # roots of one round are nodes of later ones; written, as the plan holds each twice
+        here = up.join(found.select(F.col("node").alias("root"), "component"), F.col("up") == F.col("root"), "left")
+        found = written(here.select("node", F.coalesce("component", "up").alias("component")).unionByName(found), "components")
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair (a, b) of different values once, as (high, low)."""
+    return pairs.where("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct()
+
+
+def _flattened(up: DataFrame) -> DataFrame:
+    """(node, up) with ``up`` replaced by the root that pointers lead to; their depth falls to a quarter each time."""
+    while True:
+        far = up
+        for _ in range(2):
+            next_ = far.select(F.col("node").alias("via"), F.col("up").alias("beyond"))
+            far = far.join(next_, F.col("up") == F.col("via"), "left").select("node", F.coalesce("beyond", "up").alias("up"))
+        far = written(far, "hooks")
+        deep = far.join(far.select(F.col("node").alias("via")), F.col("up") == F.col("via"), "left_semi")
+        if deep.isEmpty():
+            return far
+        up = far

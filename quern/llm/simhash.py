@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.shared import arrow_schema, connected_components, partitions, slices, small, texts, written
+from quern.llm.shared import arrow_schema, bounded_batches, connected_components, partitions, slices, small, texts, written
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 BLANKS = {c: 32 for c in range(9, 14)}
@@ -171,6 +171,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     smallest id ignores it, and a group of null ids only has a null component. An empty table gives an empty
     result; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     found = components(docs, shingle, distance, id_column, text_column)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -208,6 +209,7 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, id_column: st
     Rows are kept by a key of their own and not by id, so ids may repeat or be null: of equal ids the least hash of
     the text goes first, null ids come last, and of rows that are alike in everything one stays.
     """
+    bounded_batches(docs.sparkSession)
     named = written(docs.select(*row_key(docs, id_column, text_column), simhash_of(F.col(f"`{text_column}`"), shingle).alias("fp")), "named-rows")
     prints = written(named.select("fp").distinct(), "distinct-prints")
     linked = connected_components(links_between(prints, distance))

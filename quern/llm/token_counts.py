@@ -5,8 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.bpe import default_path, prefix_counts
-from quern.llm.shared import arrow_schema, slices, texts
+from quern.llm.bpe import PrefixCounts, default_path
+from quern.llm.shared import arrow_schema, bounded_batches, for_a_task, slices, texts
 
 
 def token_counts(docs: DataFrame, limit: int = 512, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -17,11 +17,11 @@ def token_counts(docs: DataFrame, limit: int = 512, tokenizer: str | None = None
     one (no bytes, no tokens); a null id stays null; repeated rows give repeated results; an empty table gives an
     empty result; other columns are not read. Narrow: no shuffle, a bounded memo per Python worker.
     """
+    bounded_batches(docs.sparkSession)
     path = tokenizer or default_path()
     schema, ddl = arrow_schema({"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_tokens": pa.int64(), "over_limit": pa.bool_(), "fits": pa.int64()})
 
-    def run(batches):
-        counter = prefix_counts(path)
+    def run(counter, batches):
         for batch in batches:
             for part in slices(batch):
                 rows = texts(part, "text")
@@ -31,4 +31,4 @@ def token_counts(docs: DataFrame, limit: int = 512, tokenizer: str | None = None
                     part.column("doc_id"), pa.array([len(x.encode()) for x in rows], pa.int64()), pa.array(counts, pa.int64()),
                     pa.array([n > limit for n in counts], pa.bool_()), pa.array(fits, pa.int64())], schema=schema)
 
-    return docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text").mapInArrow(run, ddl)
+    return docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text").mapInArrow(for_a_task(lambda: PrefixCounts(path), run), ddl)

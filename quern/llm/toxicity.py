@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import slices, texts, written
+from quern.llm.shared import bounded_batches, slices, texts, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words that mark a category within documents labelled toxic (fixed values); a category may also be learnt alone.
@@ -94,6 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, vocabulary: int
     words; the driver gets the words chosen and, per sampled document, which of them it has.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     names = (*CATEGORIES, "toxic")
     known = labels.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{label_column}`").cast("int").alias("label")).dropna()
     known = known.groupBy("id").agg((F.max("label") > 0).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.shared import arrow_schema, slices
+from quern.llm.shared import arrow_schema, bounded_batches, slices
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Rules and labelled URLs travel with the task; both are written by hand and must stay within these counts.
@@ -131,6 +131,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], labelled: Sequence[tuple
     """
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
+    bounded_batches(pages.sparkSession)
     model = train(labelled)
     by_host: dict[str, list[Rule]] = {}
     for rule in rules:

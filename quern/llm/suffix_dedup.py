@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import arrow_schema, partitions, shared_folder, slices, written
+from quern.llm.passages import shared_words
+from quern.llm.shared import arrow_schema, bounded_batches, partitions, shared_folder, slices, small, written
 
 GRAM = 8
 
@@ -73,7 +74,7 @@ def distinct_texts(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([some.column("t1"), some.column("t2"), pa.array([counts[n] for n in first], pa.int64()), some.column("text")], ["t1", "t2", "copies", "text"])
 
     n = partitions(spark)
-    rows = docs.where(F.octet_length("text") >= length).select("t1", "t2", "text").mapInArrow(local, "t1 long, t2 long, copies long, text string")
+    rows = docs.where(F.octet_length("text") >= F.lit(length)).select("t1", "t2", "text").mapInArrow(local, "t1 long, t2 long, copies long, text string")
     rows = rows.repartition(n, "t1", "t2").groupBy("t1", "t2").agg(F.sum("copies").alias("copies"), F.any_value("text").alias("text"))
     name = f"texts_{uuid.uuid4().hex}"
     writer = rows.write.bucketBy(n, "t1", "t2").sortBy("t1", "t2").option("compression", "zstd")
@@ -141,28 +142,54 @@ def _contexts(texts: DataFrame, spots: DataFrame, length: int, window: int, byte
     return texts.join(spots, ["t1", "t2"]).select("t1", "t2", "copies", "text", "spots").mapInArrow(run, ddl)
 
 
-def _compare(members: DataFrame, window: int, band: int = 16, most: int = 4096) -> DataFrame:
+def _compare(members: DataFrame, window: int, most: int = 512) -> DataFrame:
     """(core, context, least, greatest): for contexts that share a core, the least and greatest number of bytes
     before the core at which one of its strings occurs in another context too, or in one that is repeated.
 
     Strings of one core are equal if they start equally far before it and agree in the ``window`` bytes besides.
-    A core with more than ``most`` contexts is dealt out by that distance, ``band`` at a time, to tasks of its own.
+    The contexts of a core are compared where they lie together, up to ``most`` of them. Those of a core that has more
+    are not gathered at all: the names of their strings are counted by Spark, with sums before the shuffle.
     """
-    bands = -(-window // band)
-    sized = members.groupBy("core").agg(F.count(F.lit(1)).alias("members"))
-    pieces = F.when(F.col("members") > most, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct((b * band).alias("low"), (b * band + band).alias("high")))).otherwise(
-        F.array(F.struct(F.lit(0).alias("low"), F.lit(window).alias("high"))))
-    dealt = members.join(sized, "core").select("core", "context", "begin", "first", "last", "left", "right", "repeated", F.explode(pieces).alias("p")).select("*", "p.low", "p.high").drop("p")
-    dealt = dealt.repartition(partitions(members.sparkSession), "core", "low").sortWithinPartitions("core", "low")
+    members = written(members.select("core", "context", "begin", "first", "last", "left", "right", "repeated"), "members")
+    hot = written(members.groupBy("core").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > most).select("core"), "hot-cores")
+    hot = small(hot, hot.count())
+    few = _compare_gathered(members.join(hot, "core", "left_anti"), window)
+    return few.unionByName(_compare_counted(members.join(hot, "core", "left_semi"), window))
+
+
+def _compare_counted(members: DataFrame, window: int) -> DataFrame:
+    fields = {"core": pa.int64(), "context": pa.int64(), "back": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "weight": pa.int32()}
+    schema, ddl = arrow_schema(fields)
+
+    def run(batches):
+        digest, low = xxhash.xxh3_128_intdigest, (1 << 64) - 1
+        as_signed = lambda x: x - (1 << 64) if x >> 63 else x
+        for batch in batches:
+            for part in slices(batch, 512):
+                out = []
+                for core, context, begin, first, last, left, right, repeated in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    for back in range(max(0, begin - last), min(window, begin - first + 1)):
+                        name = digest(left[len(left) - back :] + right[: window - back])
+                        out.append((core, context, back, as_signed(name >> 64), as_signed(name & low), 2 if repeated else 1))
+                columns = list(zip(*out, strict=True)) if out else [[]] * len(fields)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    strings = written(members.mapInArrow(run, ddl), "hot-strings")
+    string = ["core", "back", "h1", "h2"]
+    twice = written(strings.groupBy(*string).agg(F.sum("weight").alias("n")).where("n > 1").select(*string), "hot-strings-twice")
+    return strings.join(twice, string, "left_semi").groupBy("core", "context").agg(F.min("back").alias("least"), F.max("back").alias("greatest"))
+
+
+def _compare_gathered(members: DataFrame, window: int) -> DataFrame:
+    dealt = members.repartition(partitions(members.sparkSession), "core").sortWithinPartitions("core")
     schema, ddl = arrow_schema({"core": pa.int64(), "context": pa.int64(), "least": pa.int32(), "greatest": pa.int32()})
 
     def settle(group: list[tuple]):
-        low, high = group[0][8], group[0][9]
         least, greatest = {}, {}
-        for back in range(low, high):
+        for back in range(window):
             seen: dict[bytes, int] = {}
             keys = []
-            for _, context, begin, first, last, left, right, repeated, *_ in group:
+            for _, context, begin, first, last, left, right, repeated in group:
                 if first <= begin - back <= last:
                     key = left[len(left) - back :] + right[: window - back] if back else right[:window]
                     seen[key] = seen.get(key, 0) + (2 if repeated else 1)
@@ -178,7 +205,7 @@ def _compare(members: DataFrame, window: int, band: int = 16, most: int = 4096)
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (held[0][0], held[0][8]) != (row[0], row[8]):
+                if held and held[0][0] != row[0]:
                     out += settle(held)
                     held = []
                 held.append(row)
@@ -187,27 +214,28 @@ def _compare(members: DataFrame, window: int, band: int = 16, most: int = 4096)
         if held and (out := settle(held)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return dealt.mapInArrow(run, ddl).groupBy("core", "context").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    return dealt.mapInArrow(run, ddl)
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) for rows (doc_id, text, spans): maximal runs, and the bytes outside them."""
+    """(doc_id, n_bytes, spans, kept, passage_words) for rows (doc_id, text, spans, shared): maximal runs, and the bytes
+    outside them."""
     pair = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pair), ("kept", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pair), ("kept", pa.binary()), ("passage_words", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 out = []
-                for doc, text, some in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
+                for doc, text, some, shared in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans", "shared")), strict=True):
                     data, runs = text.encode(), merged((x["a"], x["b"]) for x in some or ())
                     edges = [0, *[e for r in runs for e in r], len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    out.append((doc, len(data), [{"a": a, "b": b} for a, b in runs], kept))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 4
+                    out.append((doc, len(data), [{"a": a, "b": b} for a, b in runs], kept, shared or 0))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary")
+    return rows.select("doc_id", "text", "spans", "shared").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary, passage_words long")
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -231,8 +259,8 @@ def repeated_spans(texts: DataFrame, length: int, window: int) -> DataFrame:
     found = written(_contexts(texts, spots, length, window, False), "contexts")
     # a context that occurs twice settles itself; in cores with several contexts the others are compared
     stats = found.groupBy("core", "context").agg((F.sum("copies") > 1).alias("repeated"), F.min(F.struct("t1", "t2", "begin", "first", "last")).alias("one"))
-    several = found.groupBy("core").agg((F.min("context") != F.max("context")).alias("several"))
-    stats = written(stats.join(several, "core"), "context-counts")
+    several = written(found.groupBy("core").agg((F.min("context") != F.max("context")).alias("several")), "core-counts")
+    stats = written(written(stats, "contexts-named").join(several, "core"), "context-counts")
     ask = stats.where("several").select("core", "context", "repeated", "one.*")
     again = ask.groupBy("t1", "t2").agg(F.collect_list(F.struct("core", (F.col("begin") + window).alias("at"), (F.col("begin") - F.col("first") + 1).alias("gap"))).alias("spots"))
     members = _contexts(texts, again, length, window, True).join(ask.select("core", "context", "repeated", "t1", "t2", "begin"), ["core", "context", "t1", "t2", "begin"])
@@ -245,9 +273,11 @@ def repeated_spans(texts: DataFrame, length: int, window: int) -> DataFrame:
     return hits.groupBy("t1", "t2").agg(F.collect_list(F.struct(a.alias("a"), b.alias("b"))).alias("spans"))
 
 
-def cut_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 400, words: int = 51, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The cleaned corpus, one row per document: ``doc_id``, ``n_bytes`` (of the input), ``spans`` (maximal removed runs
-    of bytes, from a up to before b) and ``kept`` (the bytes left, concatenated; a cut may fall within a code point).
+    of bytes, from a up to before b), ``kept`` (the bytes left, concatenated; a cut may fall within a code point) and
+    ``passage_words`` (words in runs of ``words`` or more that another document has too: passages shorter than ``length``
+    bytes are seen by it, though they stay).
     Removed is each byte covered by a string of ``length`` bytes that also starts anywhere else in the corpus, in the
     same document or another; strings do not cross documents and are judged on the input.
 
@@ -258,18 +288,20 @@ def cut_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id", t
     window = (length - GRAM) // 3
     if length < 32:
         raise ValueError("length: 32 or more")
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), text.alias("text")).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(7), "text"))
-    texts = distinct_texts(rows, length)
-    some = repeated_spans(texts, length, window)
-    copies = texts.where("copies > 1").select("t1", "t2", F.array(F.struct(F.lit(0).alias("a"), F.octet_length("text").alias("b"))).alias("spans"))
-    spans = written(some.unionByName(copies), "spans")
+    texts = distinct_texts(rows, min(length, 2 * words - 1))
+    some = repeated_spans(texts.where(F.octet_length("text") >= length), length, window)
+    copies = texts.where((F.col("copies") > 1) & (F.octet_length("text") >= length)).select("t1", "t2", F.array(F.struct(F.lit(0).alias("a"), F.octet_length("text").alias("b"))).alias("spans"))
+    found = some.unionByName(copies).withColumn("shared", F.lit(0).cast("long")).unionByName(shared_words(texts, words).withColumn("spans", F.lit(None).cast("array<struct<a:int,b:int>>")))
+    spans = written(found.groupBy("t1", "t2").agg(F.first("spans", ignorenulls=True).alias("spans"), F.max("shared").alias("shared")), "spans")
     return _cut(rows.join(spans, ["t1", "t2"], "left"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``cut_repeats`` in figures, one row per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and
-    ``kept_sha256`` (of the bytes left)."""
+def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``cut_repeats`` in figures, one row per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``,
+    ``kept_sha256`` (of the bytes left) and ``passage_words``."""
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
-    return cut_repeats(docs, length, id_column, text_column).select(
-        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut_repeats(docs, length, words, id_column, text_column).select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "passage_words")

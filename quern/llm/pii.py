@@ -72,10 +72,17 @@ def confirmed(kind: str, match: Column) -> Column:
 EMPTY = "cast(array() as array<struct<start:int,kind:int,end:int,score:double>>)"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, where ``use`` names it within another function's elements."""
+    return F.transform(F.array(value), use)[0]
+
+
 def found(kind: str, text: Column) -> Column:
     """array<struct<start, kind, end, score>>: the confirmed matches of a kind, offsets in code points, end exclusive.
 
-    The pieces between the matches and the matches themselves alternate, so their lengths add up to offsets.
+    The pieces between the matches and the matches themselves alternate, so their lengths add up to offsets. Adding to
+    an array copies it, so the n pieces are walked in about sqrt(n) blocks of as many, each from its own zero, and the
+    blocks' spans are shifted to where the blocks start.
     """
     pattern, hint, score, _ = KINDS[kind]
     number = list(KINDS).index(kind)
@@ -89,17 +96,46 @@ def found(kind: str, text: Column) -> Column:
         keep = x["match"].isNotNull() & confirmed(kind, x["match"])
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
+    def shifted(blocks):
+        begins = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+        def move(pair):
+            return F.transform(pair["b"]["spans"], lambda s: F.struct((s["start"] + pair["o"]).alias("start"), s["kind"].alias("kind"), (s["end"] + pair["o"]).alias("end"), s["score"].alias("score")))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), F.slice(begins, F.lit(1), F.size(blocks)).alias("o")), move))
+
+    def walked(every):
+        width = F.ceil(F.sqrt(F.size(every))).cast("int")
+        block = lambda k: F.aggregate(F.slice(every, k * width + 1, width), state, add)
+        return let(F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / width).cast("int")), block), shifted)
+
     has = F.contains(text, F.lit(hint)) if len(hint) == 1 else text.rlike(hint)
-    return F.when(has, F.aggregate(steps, state, add, lambda acc: acc["spans"])).otherwise(F.expr(EMPTY))
+    return F.when(has, let(steps, walked)).otherwise(F.expr(EMPTY))
+
+
+CHUNK = 1024
+
+
+def chunks(text: Column) -> Column:
+    """The text in pieces of ``CHUNK`` code points: an offset is found by walking one piece, not the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
 
 def rescored(spans: Column, text: Column, window: int, boost: float) -> Column:
     """Scores with ``boost`` added where a context word of the kind stands within ``window`` code points."""
-    def one(s):
-        near = F.lower(F.concat(F.substring(text, F.greatest(s["start"] - window, F.lit(0)) + 1, F.least(s["start"], F.lit(window))), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(window))))
+    if not 0 <= window <= CHUNK:
+        raise ValueError(f"window: 0 to {CHUNK}")
+
+    def around(pieces, at, low, high):
+        """Code points from ``low`` to before ``high``, counted from ``at``, as far as the text has them."""
+        begin = F.greatest(at + low, F.lit(0))
+        first = F.floor(begin / CHUNK).cast("int")
+        return F.substring(F.array_join(F.slice(pieces, first + 1, 2), ""), begin - first * CHUNK + 1, at + high - begin)
+
+    def one(pieces, s):
+        before, after = around(pieces, s["start"], -window, 0), around(pieces, s["end"], 0, window)
+        near = F.lower(F.concat(before, F.lit(" "), after))
         helps = reduce(lambda rest, k: F.when(s["kind"] == k[0], near.rlike(rf"(?<![a-z])(?:{k[1][3]})")).otherwise(rest), enumerate(KINDS.values()), F.lit(False))
         return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.least(F.lit(1.0), s["score"] + F.when(helps, boost).otherwise(0.0)).alias("score"))
-    return F.transform(spans, one)
+    return let(spans, lambda some: F.when(F.size(some) == 0, some).otherwise(let(chunks(text), lambda pieces: F.transform(some, lambda s: one(pieces, s)))))
 
 
 def find_pii(docs: DataFrame, least_score: float = 0.4, window: int = 40, boost: float = 0.3, text_column: str = "text", into: str = "pii") -> DataFrame:
@@ -127,21 +163,29 @@ def listed(spans: Column) -> Column:
 
 def mask_pii(docs: DataFrame, text_column: str = "text", length_column: str | None = "n_chars", **how) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets, overlapping spans as one; the length column, if
-    given and there, is counted anew. A null text stays null. Columns and their order stay as they were."""
+    given and there, is counted anew. A null text stays null; repeated rows and rows without id are masked alike; an empty
+    table gives an empty result. Columns and their order stay as they were."""
     spot = "__pii"
     while spot in docs.columns:
         spot += "_"
     with_spans = find_pii(docs, text_column=text_column, into=spot, **how)
     text = F.col(text_column)
 
-    def add(acc, s):
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit("["), F.upper(_names(s["kind"])), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def piece_masked(spans, piece, number):
+        begin = number * CHUNK
+        some = F.filter(spans, lambda s: (s["end"] > begin) & (s["start"] < begin + CHUNK))
+
+        def add(acc, s):
+            gap = F.substring(piece, acc["at"] - begin + 1, s["start"] - acc["at"])
+            fresh = (s["start"] >= acc["at"]) & (s["start"] >= begin)  # one that began before has its name there
+            out = F.when(fresh, F.concat(acc["out"], gap, F.lit("["), F.upper(_names(s["kind"])), F.lit("]"))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+        state = F.struct(begin.alias("at"), F.lit("").alias("out"))
+        left = lambda acc: F.concat(acc["out"], F.substring(piece, F.least(acc["at"] - begin, F.lit(CHUNK)) + 1, F.lit(CHUNK)))
+        return F.when(F.size(some) == 0, piece).otherwise(F.aggregate(some, state, add, left))
 
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(spot, state, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    masked = let(F.col(spot), lambda spans: F.array_join(F.transform(chunks(text), lambda piece, n: piece_masked(spans, piece, n)), ""))
     out = with_spans.withColumn(text_column, F.when(text.isNull() | (F.size(spot) == 0), text).otherwise(masked)).drop(spot)
     if length_column and length_column in docs.columns:
         out = out.withColumn(length_column, F.when(F.col(text_column).isNull(), F.col(length_column)).otherwise(F.length(text_column)).cast(docs.schema[length_column].dataType))

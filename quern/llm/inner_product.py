@@ -5,12 +5,11 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import arrow_schema, partitions, written
+from quern.llm.shared import arrow_schema, bounded_batches, partitions, written
 
 
 class Codebooks(NamedTuple):
@@ -94,27 +93,26 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _matrix(column: pd.Series, dimension: int) -> np.ndarray:
-    return np.array(column.to_list(), np.float64).reshape(len(column), dimension)
-
-
 def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 4096, width: int = 4, candidates: int = 768,
-           query_block: int = 1024, row_block: int = 8192, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+           row_block: int | None = None, at_once: int = 64, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """For each row whose id ``every`` divides, its ``k`` nearest among all other rows by inner product:
     ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (in double precision, on the original vectors). Ties go
     to the smaller id.
 
-    The codebooks are fitted on at most ``sample`` rows (those of least hash); every row is encoded. Queries in
-    blocks meet rows in blocks: each task scans four-bit codes, takes the ``candidates`` best of its block and all
-    that tie with the last of them, and reranks those exactly, so a block gives ``k`` rows a query; these meet in
-    one more top-k. With at most ``candidates`` rows in a block the result is exact.
+    The codebooks are fitted on at most ``sample`` rows (those of least hash); every row is encoded, once. Rows are dealt
+    in blocks of about ``row_block`` (if not given, so many that there are four blocks for each shuffle partition, within
+    1,024 and 65,536 rows); each row moves to its block and each query to every block. A task holds one block, its
+    vectors and codes, and the queries run past it, ``at_once`` of them: their tables are summed over the codes, the
+    ``candidates`` best of the block and all that tie with the last of them are reranked exactly, so a block gives ``k``
+    rows a query; these meet in one more top-k. With at most ``candidates`` rows in a block the result is exact.
 
     See ``usable`` for rows left out and repeated ids. Vectors of a length other than the commonest (the longest
     of several) take no part. An empty table gives an empty result; other columns are not read.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     rows = written(usable(vectors, id_column, vector_column), "vectors")
-    _, ddl = arrow_schema({"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()})
+    schema, ddl = arrow_schema({"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()})
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -124,41 +122,52 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 4096,
     wide = -(-dimension // width) * width
     pad = lambda x: np.pad(x, ((0, 0), (0, wide - dimension)))
     books = fit(pad(picked), width)
-    row_blocks = -(-count // row_block)
-    is_query = F.col("vec_id") % every == 0
-    query_blocks = max(1, -(-count // every // query_block))
-    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    asked = rows.where(is_query).select("vec_id", "v", deal(query_blocks, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
-    held = rows.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), deal(row_blocks, 2).alias("rb"))
-    cells = max(partitions(spark), min(query_blocks * row_blocks, 4 * partitions(spark)))
-    dealt = asked.withColumn("asks", F.lit(True)).unionByName(held.withColumn("asks", F.lit(False))).repartition(cells, "qb", "rb")
-
-    def meet(both: pd.DataFrame):
-        queries, block = both[both["asks"]], both[~both["asks"]]
-        if not len(queries) or not len(block):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        block = block.sort_values("vec_id")
-        ids, values = block["vec_id"].to_numpy(), _matrix(block["v"], dimension)
-        codes = books.encode(pad(values))
-        asked_ids, asked_values = queries["vec_id"].to_numpy(), _matrix(queries["v"], dimension)
+    block = row_block or min(1 << 16, max(1 << 10, -(-count // (4 * partitions(spark)))))
+    blocks = -(-count // block)
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
+    held = rows.select("vec_id", "v", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("rb"))
+    dealt = held.unionByName(asked).repartition(max(blocks, partitions(spark)), "rb").sortWithinPartitions("rb", "asks", "vec_id")
+
+    def nearest(asked_ids: np.ndarray, asked_values: np.ndarray, ids: np.ndarray, values: np.ndarray, codes: np.ndarray) -> list[tuple]:
         out = []
-        for at in range(0, len(asked_ids), 64):
-            near = scan(pad(asked_values[at : at + 64]), codes, books)
-            for mine, vector, scores in zip(asked_ids[at : at + 64], asked_values[at : at + 64], near, strict=True):
-                # one more than asked for, as the query itself may be among them
-                least = np.partition(scores, -candidates - 1)[-candidates - 1] if len(scores) > candidates + 1 else 0
-                some = np.flatnonzero(scores >= least)
-                some = some[ids[some] != mine]
-                exact = (values[some] * vector).sum(axis=1)
-                best = np.lexsort((ids[some], -exact))[:k]
-                out.append((np.full(len(best), mine), ids[some][best], exact[best]))
-        query, found, score = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pd.DataFrame({"query_id": query, "vec_id": found, "score": score})
-
-    parts = dealt.groupBy("qb", "rb").applyInPandas(meet, ddl)
-    # the best k of each query's blocks: at most k * row_blocks rows a query, narrowed in two steps
+        for mine, vector, scores in zip(asked_ids, asked_values, scan(pad(asked_values), codes, books), strict=True):
+            # one more than asked for, as the query itself may be among them
+            least = np.partition(scores, -candidates - 1)[-candidates - 1] if len(scores) > candidates + 1 else 0
+            some = np.flatnonzero(scores >= least)
+            some = some[ids[some] != mine]
+            exact = (values[some] * vector).sum(axis=1)
+            best = np.lexsort((ids[some], -exact))[:k]
+            out.append((np.full(len(best), mine), ids[some][best], exact[best]))
+        return out
+
+    def run(batches):
+        now, parts, block_of = None, [], None  # number of the block, what has come of it, and it as a whole
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers, asks = batch.column("rb").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            ids, values = batch.column("vec_id").to_numpy(), batch.column("v").flatten().to_numpy().reshape(-1, dimension)
+            edges = np.flatnonzero((np.diff(numbers) != 0) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if numbers[a] != now:
+                    now, parts, block_of = numbers[a], [], None
+                if not asks[a]:
+                    parts.append((ids[a:b], values[a:b]))
+                    continue
+                if not parts:  # a block without rows
+                    continue
+                if block_of is None:
+                    own, vectors_ = (np.concatenate([p[n] for p in parts]) for n in (0, 1))
+                    block_of = own, vectors_, np.concatenate([books.encode(pad(vectors_[n : n + 4096])) for n in range(0, len(vectors_), 4096)])
+                for at in range(a, b, at_once):
+                    end = min(b, at + at_once)
+                    columns = zip(*nearest(ids[at:end], values[at:end], *block_of), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], schema=schema)
+
+    parts = dealt.mapInArrow(run, ddl)
+    # the best k of each query's blocks: at most k * blocks rows a query, narrowed in two steps
     best = lambda c: F.slice(F.array_sort(c), 1, k)
     item = F.struct((-F.col("score")).alias("less"), F.col("vec_id"), F.col("score"))
-    first = parts.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, row_blocks // 16))).alias("part")).agg(best(F.collect_list(item)).alias("some"))
+    first = parts.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks // 16))).alias("part")).agg(best(F.collect_list(item)).alias("some"))
     last = first.groupBy("query_id").agg(best(F.flatten(F.collect_list("some"))).alias("some"))
     return last.select("query_id", F.posexplode("some").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

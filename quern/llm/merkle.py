@@ -7,7 +7,9 @@ from collections import Counter
 from hashlib import sha256
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +23,16 @@ LINE = re.compile(r"[^\n]*\n|[^\n]+")
 SECTION = 8
 
 
+#: Words with the blanks after them; a long word in pieces that end where its own characters say, of at most 64.
+WORD = re.compile(r"\S+\s*|\s+")
+LONG = 32
+
+
 class Paragraph(NamedTuple):
     digest: bytes
     length: int
-    phrases: list[int]
-    lengths: list[int]
+    phrases: list[bytes]
+    texts: list[str]
 
 
 class Section(NamedTuple):
@@ -35,7 +42,8 @@ class Section(NamedTuple):
 
 
 class Tree(NamedTuple):
-    """root: equal exactly for equal texts. Below it sections, paragraphs (lines) and short digests of phrases."""
+    """root: equal exactly for equal texts. Each level's digests are made of those below: sections of paragraphs (lines),
+    paragraphs of phrases, whose texts are the leaves."""
 
     root: str
     length: int
@@ -45,8 +53,8 @@ class Tree(NamedTuple):
 def _paragraph(text: str, known: dict[str, Paragraph]) -> Paragraph:
     if text not in known:
         parts = PHRASE.findall(text)
-        digest = xxhash.xxh3_64_intdigest
-        known[text] = Paragraph(sha256(b"\0" + text.encode()).digest(), len(text), [digest(x) for x in parts], [len(x) for x in parts])
+        phrases = [xxhash.xxh3_128_digest(x) for x in parts]
+        known[text] = Paragraph(sha256(b"\0" + b"".join(phrases)).digest(), len(text), phrases, parts)
     return known[text]
 
 
@@ -87,21 +95,67 @@ def _unmatched(a: list, b: list) -> tuple[int, list, list]:
     return same, rest, other[::-1]
 
 
+def pieces(phrase: str) -> list[str]:
+    """The words of a phrase; long ones cut further, at places that do not move when text is put before them."""
+    out = []
+    for word in WORD.findall(phrase):
+        start = 0
+        if len(word) > LONG:
+            for k, c in enumerate(word):
+                if ord(c) * 2654435761 >> 7 & 7 == 0 or k - start == 63:
+                    out.append(word[start : k + 1])
+                    start = k + 1
+        out.append(word[start:])
+    return out
+
+
+def _leaves(a: list[tuple], b: list[tuple]) -> tuple[int, list[str], list[str]]:
+    """For (name, text) leaves of both: code points in equal ones (repeats counted), and the texts left on either side."""
+    left, same, rest = Counter(x for x, _ in b), 0, []
+    for x, text in a:
+        if left[x]:
+            left[x] -= 1
+            same += len(text)
+        else:
+            rest.append(text)
+    other = []
+    for x, text in reversed(b):
+        if left[x]:
+            left[x] -= 1
+            other.append(text)
+    return same, rest, other[::-1]
+
+
 def likeness(a: Tree, b: Tree) -> float:
     """Share (0 to 1) of both texts' code points in equal branches: whole sections first, then the paragraphs of
-    sections that differ, then the phrases of paragraphs that differ. 1 for equal roots."""
+    sections that differ, the phrases of paragraphs that differ and the words of phrases that differ. 1 for equal roots."""
     if a.root == b.root:
         return 1.0
     same, mine, other = _unmatched(a.sections, b.sections)
     more, mine, other = _unmatched([p for s in mine for p in s.paragraphs], [p for s in other for p in s.paragraphs])
-    same += more
-    left = Counter(x for p in other for x in p.phrases)
-    for p in mine:
-        for x, n in zip(p.phrases, p.lengths, strict=True):
-            if left[x]:
-                left[x] -= 1
-                same += n
-    return 2 * same / (a.length + b.length)
+    phrases, mine, other = _leaves(*([x for p in side for x in zip(p.phrases, p.texts, strict=True)] for side in (mine, other)))
+    words, _, _ = _leaves(*([(x, x) for text in side for x in pieces(text)] for side in (mine, other)))
+    return 2 * (same + more + phrases + words) / (a.length + b.length)
+
+
+def first_edit(a: Tree, b: Tree) -> int | None:
+    """The code point of ``a`` at which ``b`` begins to differ; None if it does not. Equal branches are passed over as a
+    whole, level by level; only the first phrases that differ are compared by characters."""
+    if a.root == b.root:
+        return None
+    at = 0
+
+    def ahead(mine: list, other: list, size) -> tuple[list, list]:
+        nonlocal at
+        n = next((k for k, (x, y) in enumerate(zip(mine, other, strict=False)) if x[0] != y[0]), min(len(mine), len(other)))
+        at += sum(map(size, mine[:n]))
+        return mine[n:], other[n:]
+
+    sections = ahead(a.sections, b.sections, lambda s: s.length)
+    paragraphs = ahead(*([p for s in side[:1] for p in s.paragraphs] for side in sections), lambda p: p.length)
+    phrases = ahead(*([x for p in side[:1] for x in zip(p.phrases, p.texts, strict=True)] for side in paragraphs), lambda x: len(x[1]))
+    mine, other = ("".join(text for _, text in side) for side in phrases)
+    return at + next((k for k, (x, y) in enumerate(zip(mine, other, strict=False)) if x != y), min(len(mine), len(other)))
 
 
 def differing_spans(a: Tree, b: Tree) -> list[tuple[int, int]]:
@@ -154,13 +208,14 @@ def fingerprint_trees(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
 
 def _bucket(of: Column, bounds: list[int]) -> Column:
-    """How many bounds are at or below ``of``, by a balanced tree of comparisons."""
-    def between(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(of < bounds[mid], between(low, mid)).otherwise(between(mid + 1, high))
-    return between(0, len(bounds))
+    """How many of the ascending ``bounds`` are at or below ``of``; for a null all of them."""
+    every = np.array(bounds, np.int64)
+
+    @F.arrow_udf("int")
+    def bucket(ids: pa.Array) -> pa.Array:
+        found = np.searchsorted(every, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+        return pc.if_else(ids.is_null(), pa.scalar(len(every), pa.int32()), pa.array(found))
+    return bucket(of)
 
 
 def edit_fingerprints(docs: DataFrame, buckets: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -169,7 +224,7 @@ def edit_fingerprints(docs: DataFrame, buckets: int | None = None, id_column: st
 
     Columns: ``doc_id``, ``n_chars`` (code points), ``edited_sha256``, ``fingerprint``, ``edited_fingerprint`` (roots,
     hex), ``near_edited``, ``near_next`` (``likeness`` of the trees), ``n_sections``, ``n_paragraphs`` and
-    ``first_edit`` (start of the first branch of the text that the edited tree lacks; null if none).
+    ``first_edit`` (the code point at which the edited text begins to differ, found by descent; null if none).
 
     A null text is an empty one. Rows of one id follow each other by text; null ids come last. A lone row is its
     own next. An empty table gives an empty result; other columns are not read.
@@ -188,7 +243,7 @@ def edit_fingerprints(docs: DataFrame, buckets: int | None = None, id_column: st
     if not least["n"]:
         return spark.createDataFrame([], arrow_schema(FIELDS)[1])
     bounds = sorted({int(x) for x in cuts} - {least["least"]})
-    own = _bucket(F.coalesce("doc_id", F.lit((1 << 63) - 1)), bounds)
+    own = _bucket(F.col("doc_id"), bounds)
     # a row opens its range if its id is the least there; ids at a bound do, if the table has that id
     opens = rows.withColumn("range", own).groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("o"), F.count(F.lit(1)).alias("n"))
     first = [(r["range"], r["o"]["doc_id"]) for r in opens.orderBy("range").collect()]
@@ -206,10 +261,9 @@ def edit_fingerprints(docs: DataFrame, buckets: int | None = None, id_column: st
         half = len(text) // 2
         edited = text[: len(text) - half] + follower[:half]
         other = tree(edited, known)
-        spans = differing_spans(mine, other)
         return (
             len(text), sha256(edited.encode()).hexdigest(), mine.root, other.root, likeness(mine, other), likeness(mine, theirs),
-            len(mine.sections), sum(len(s.paragraphs) for s in mine.sections), spans[0][0] if spans else None)
+            len(mine.sections), sum(len(s.paragraphs) for s in mine.sections), first_edit(mine, other))
 
     def run(batches):
         held = None  # (range, doc, text, tree, paragraphs), waiting for the row after it

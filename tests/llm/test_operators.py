@@ -66,8 +66,8 @@ def test_merkle(docs, rows):
         t, n = t or "", ordered[(k + 1) % len(ordered)][1] or ""
         edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
         a, b = merkle.tree(t), merkle.tree(edited)
-        spans = merkle.differing_spans(a, b)
-        want.setdefault(i, []).append((len(t), hashlib.sha256(edited.encode()).hexdigest(), a.root, b.root, merkle.likeness(a, b), merkle.likeness(a, merkle.tree(n)), len(a.sections), sum(len(s.paragraphs) for s in a.sections), spans[0][0] if spans else None))
+        edit = None if t == edited else next((k for k, (x, y) in enumerate(zip(t, edited, strict=False)) if x != y), min(len(t), len(edited)))
+        want.setdefault(i, []).append((len(t), hashlib.sha256(edited.encode()).hexdigest(), a.root, b.root, merkle.likeness(a, b), merkle.likeness(a, merkle.tree(n)), len(a.sections), sum(len(s.paragraphs) for s in a.sections), edit))
     found = by_id(merkle.edit_fingerprints(docs, buckets=5))
     assert found == {k: sorted(v, key=repr) for k, v in want.items()}
     roots = {r.fingerprint for r in merkle.fingerprint_trees(docs).collect()}
@@ -83,6 +83,25 @@ def test_merkle_locates_edits():
     assert 0.95 < merkle.likeness(a, b) < 1 == merkle.likeness(a, merkle.tree(text)) and merkle.likeness(a, merkle.tree("else\n")) == 0
 
 
+def test_merkle_levels():
+    """Digests are made of those below, from phrases to the root; half a text kept is seen whatever its words and lines."""
+    from hashlib import sha256
+
+    text = "One two three four five. Six seven\n\nEight" + "x" * 500 + " nine\n"
+    t = merkle.tree(text)
+    for s in t.sections:
+        for p in s.paragraphs:
+            assert p.digest == sha256(b"\0" + b"".join(xxhash.xxh3_128_digest(x) for x in p.texts)).digest()
+        assert s.digest == sha256(b"\1" + b"".join(p.digest for p in s.paragraphs)).digest()
+    assert t.root == sha256(b"\2" + b"".join(s.digest for s in t.sections)).hexdigest()
+    assert "".join(x for s in t.sections for p in s.paragraphs for x in p.texts) == text
+    random.seed(8)
+    lines = ["one two three four", "".join(random.choice("天地玄黄宇宙洪荒日月盈昃辰宿列张") for _ in range(400)), "".join(random.choice("abcdef0123456789") for _ in range(3000)), "x" * 4000, "a b"]
+    for line in lines:
+        edited = line[: len(line) - len(line) // 2] + "?" * (len(line) // 2)
+        assert 0.3 < merkle.likeness(merkle.tree(line), merkle.tree(edited)) < 1
+
+
 def test_apportionment():
     random.seed(4)
     for _ in range(200):
@@ -163,7 +182,7 @@ def test_inner_product(spark):
     odd = [(2000, None), (2001, [0.0] * 20), (2002, [float("nan")] * 20), (2003, [None] + [1.0] * 19), (2004, [float("inf")] * 20), (None, [1.0] * 20), (2006, [1.0]), (2008, [])]
     df = spark.createDataFrame([(i, v, "q") for i, v in rows + odd], "vec_id long, embedding array<float>, qb string")
     ids, matrix = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(np.float64)
-    exact = inner_product.search(df, row_block=400, query_block=20).collect()
+    exact = inner_product.search(df, row_block=400, at_once=20).collect()
     rough = inner_product.search(df, candidates=150).collect()
     hits = 0
     for q in ids[ids % 20 == 0]:

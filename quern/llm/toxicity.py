@@ -1,4 +1,8 @@
-"""Toxicity by a classifier chain: categories in turn, each linear model fed with the probabilities before it."""
+"""Toxicity by a classifier chain: categories in turn, each linear model fed with the probabilities before it.
+
+The categories come from the labelled rows, not from a list of words: poor quality, as labelled; kinds of toxicity, as the
+labelled toxic rows fall into clusters by the words that they share; and, last, toxicity itself.
+"""
 
 from __future__ import annotations
 
@@ -14,14 +18,6 @@ from pyspark.sql import functions as F
 from quern.llm.shared import bounded_batches, slices, texts, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words that mark a category within documents labelled toxic (fixed values); a category may also be learnt alone.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "clown", "loser", "stupid"),
-    "contempt": ("scum", "trash", "worthless"),
-    "disgust": ("disgusting", "pathetic"),
-}
-
-
 def words(text: str) -> set[str]:
     return set(LETTERS.findall(text.lower()))
 
@@ -50,6 +46,8 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12
         curve = (wide * (p * (1 - p))[:, None]).T @ wide + np.diag(penalty)
         move = np.linalg.solve(curve, gradient)
         w -= move / max(1.0, np.abs(move).max() / 5)
+        if np.abs(move).max() < 1e-6:
+            break
     return Linear(w[:-1], float(w[-1]))
 
 
@@ -86,46 +84,75 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, ridge: float
     return models
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, vocabulary: int = 200, folds: int = 5,
-          id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Chain:
+def clusters(x: np.ndarray, count: int, rounds: int = 20) -> np.ndarray:
+    """Cluster of each row of a 0/1 matrix, by cosine: k-means from rows that are least like each other. Words that many
+    rows have weigh less. The same rows give the same clusters, numbered from the largest."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    x = x * np.log(1 + len(x) / np.maximum(1, x.sum(axis=0)))
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = x[[int((x @ x.mean(axis=0)).argmax())]]
+    while len(centres) < min(count, len(x)):
+        centres = np.vstack([centres, x[int((x @ centres.T).max(axis=1).argmin())]])
+    own = np.zeros(len(x), np.int64)
+    for _ in range(rounds):
+        new = (x @ centres.T).argmax(axis=1)
+        for k in range(len(centres)):
+            if (new == k).any():
+                mean = x[new == k].mean(axis=0)
+                centres[k] = mean / max(np.linalg.norm(mean), 1e-12)
+        if (new == own).all():
+            break
+        own = new
+    order = np.argsort(-np.bincount(own, minlength=len(centres)), kind="stable")
+    return np.argsort(order)[own]
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, vocabulary: int = 200, folds: int = 5, kinds: int = 3,
+          id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", quality_column: str = "quality") -> Chain:
     """A chain fitted on at most ``rows`` labelled documents, those of least id hash (a row without id, label or
-    document counts for nothing; of several labels of one id the greatest). Its words are, for each category and
-    the label, the ``vocabulary`` ones whose share of documents differs most, in standard errors. Spark counts the
-    words; the driver gets the words chosen and, per sampled document, which of them it has.
+    document counts for nothing; of several labels of one id the greatest, and the least quality; no quality, or no such
+    column, is not a poor one). Its words are, for poor quality and for toxicity, the ``vocabulary`` ones whose share
+    of documents differs most, in standard errors. Spark counts the words; the driver gets the words chosen and, per
+    sampled document, which of them it has. Links: ``poor``, ``kind_1`` to ``kind_<kinds>`` (see ``clusters``), ``toxic``.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    names = (*CATEGORIES, "toxic")
-    known = labels.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{label_column}`").cast("int").alias("label")).dropna()
-    known = known.groupBy("id").agg((F.max("label") > 0).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
+    targets = ("poor", "toxic")
+    quality = F.col(f"`{quality_column}`") if quality_column in labels.columns else F.lit(1)
+    known = labels.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{label_column}`").cast("int").alias("toxic"), (F.coalesce(quality, F.lit(1)) <= 0).cast("int").alias("poor")).dropna()
+    known = known.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"), F.max("poor").alias("poor")).orderBy(F.xxhash64("id"), "id").limit(rows)
     sampled = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text")).join(F.broadcast(known), "id")
 
     def split(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch):
                 held = [sorted(words(t)) for t in texts(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(held, pa.list_(pa.string()))], ["id", "label", "words"])
-
-    sampled = written(sampled.select("id", "label", "text").mapInArrow(split, "id long, label int, words array<string>"), "labelled")
-    marks = [F.when(F.arrays_overlap("words", F.array(*map(F.lit, CATEGORIES[n]))), F.col("label")).otherwise(0).alias(n) for n in CATEGORIES]
-    marked = sampled.select("id", "words", *marks, F.col("label").alias("toxic"))
-    totals = marked.agg(F.count(F.lit(1)).alias("all"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
-    counts = marked.select(F.explode("words").alias("word"), *names).groupBy("word").agg(F.count(F.lit(1)).alias("all"), *[F.sum(n).alias(n) for n in names]).where("all >= 3")
-    chosen: set[str] = set()
-    for n in names:
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", *targets)), pa.array(held, pa.list_(pa.string()))], ["id", *targets, "words"])
+
+    sampled = written(sampled.select("id", *targets, "text").mapInArrow(split, "id long, poor int, toxic int, words array<string>"), "labelled")
+    totals = sampled.agg(F.count(F.lit(1)).alias("all"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in targets]).first()
+    counts = sampled.select(F.explode("words").alias("word"), *targets).groupBy("word").agg(F.count(F.lit(1)).alias("all"), *[F.sum(n).alias(n) for n in targets]).where("all >= 3")
+    chosen: dict[str, set[str]] = {n: set() for n in targets}
+    for n in targets:
         some, none = float(totals[n]), float(totals["all"] - totals[n])
         if some and none:
             a, b = F.col(n) / some, (F.col("all") - F.col(n)) / none
             error = F.sqrt(F.col("all") / totals["all"] * (1 - F.col("all") / (totals["all"] + 1.0)) * (1 / some + 1 / none))
-            chosen |= {r["word"] for r in counts.orderBy(F.desc(F.abs(a - b) / error), "word").limit(vocabulary).collect()}
-    index = {w: k for k, w in enumerate(sorted(chosen))}
+            chosen[n] = {(r["word"], r["more"]) for r in counts.select("word", (a > b).alias("more"), (F.abs(a - b) / error).alias("z")).orderBy(F.desc("z"), "word").limit(vocabulary).collect()}
+    index = {w: k for k, w in enumerate(sorted({w for found in chosen.values() for w, _ in found}))}
     every = F.array(*[F.lit(w) for w in index]).cast("array<string>")
-    had = marked.select("id", *names, F.array_intersect("words", every).alias("has")).orderBy("id", "has").collect()
-    x, y = np.zeros((len(had), len(index))), np.array([[r[n] for n in names] for r in had], np.float64).reshape(len(had), len(names))
+    had = sampled.select("id", *targets, F.array_intersect("words", every).alias("has")).orderBy("id", "has").collect()
+    x = np.zeros((len(had), len(index)))
     for k, r in enumerate(had):
         x[k, [index[w] for w in r["has"]]] = 1
+    toxic = np.array([r["toxic"] for r in had], bool)
+    telling = sorted(index[w] for w, more in chosen["toxic"] if more)
+    kind = np.full(len(had), -1)
+    kind[toxic] = clusters(x[toxic][:, telling], kinds)
+    y = np.stack([np.array([r["poor"] for r in had], np.float64), *(kind == k for k in range(kinds)), toxic], axis=1) if had else np.zeros((0, kinds + 2))
     fold = np.array([(r["id"] * 2654435761 >> 7) % folds for r in had], np.int64)
-    return Chain(index, names, tuple(fit_chain(x, y, fold)))
+    return Chain(index, ("poor", *(f"kind_{k + 1}" for k in range(kinds)), "toxic"), tuple(fit_chain(x, y.astype(np.float64), fold)))
 
 
 def toxicity_of(text: Column, chain: Chain) -> Column:
@@ -155,5 +182,6 @@ def judge_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
-    """``docs`` without the rows judged toxic; columns as they were."""
+    """``docs`` without the rows judged toxic; columns as they were. A null text is judged as an empty one; null ids,
+    repeated rows and other columns go along; an empty table gives an empty result."""
     return docs.where(toxicity_of(F.col(f"`{text_column}`"), chain)["p_toxic"] < threshold)

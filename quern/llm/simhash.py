@@ -191,7 +191,8 @@ def one_of_each(docs: DataFrame, named: DataFrame, placed: DataFrame, id_column:
     """``docs`` with the first row, by ``ROW_KEY``, of each component. ``named``: (``ROW_KEY``, fp) of every row;
     ``placed``: (fp, component). Rows alike in their whole key are counted, and one of them stays."""
     copies = named.groupBy("fp", *ROW_KEY).agg(F.count(F.lit(1)).alias("copies"))
-    heads = copies.join(placed, "fp").groupBy("component").agg(F.min(F.struct(*ROW_KEY, "copies")).alias("head")).select("head.*")
+    first = copies.groupBy("fp").agg(F.min(F.struct(*ROW_KEY, "copies")).alias("head"))  # before the join: a text with many copies is one row there
+    heads = first.join(placed, "fp").groupBy("component").agg(F.min("head").alias("head")).select("head.*")
     heads = written(heads, "heads")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(docs, id_column, text_column))
     single = rows.join(heads.where("copies = 1"), ROW_KEY, "left_semi").select("row.*")

@@ -17,6 +17,9 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+# What is assigned to a name that says it is secret, and keys of known forms; the name itself is not part of the match.
+SECRET = (r"(?<=(?i:token|secret|passwo?r?d|api[_-]?key|access[_-]?key)[\"']{0,1}\s{0,3}[:=]\s{0,3}[\"']{0,1})[A-Za-z0-9+/_=-]{16,}+"
+          r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)")
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 #: Kind -> pattern, what a text must hold for a match, first score, context words that raise it. Base kinds first.
@@ -27,6 +30,7 @@ KINDS = {
     "phone": (PHONE, r"\+[0-9]", 0.6, "phone|tel|call|mobile|fax|handy"),
     "iban": (IBAN, r"[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank|konto|cuenta|compte"),
     "ssn": (SSN, r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3, "ssn|social|security|tax"),
+    "secret": (SECRET, r"(?i:token|secret|passw|key)[\"']?\s{0,3}[:=]|AKIA|gh[pousr]_|sk-", 0.6, "token|secret|passw|key"),
 }
 BASE = ("email", "ip", "card", "phone")
 
@@ -66,6 +70,8 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.when(F.length(digits(match)).between(14, 19), luhn(digits(match))).otherwise(False)
     if kind == "phone":
         return F.length(digits(match)).between(10, 15)
+    if kind == "secret":
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
     return mod97(match) if kind == "iban" else F.lit(True)
 
 
@@ -142,7 +148,8 @@ def find_pii(docs: DataFrame, least_score: float = 0.4, window: int = 40, boost:
     """``docs`` with a column ``into``: array<struct<start, kind, end, score>>, in order of start, then kind.
 
     ``kind`` numbers ``KINDS``. Base kinds (email, ip, card, phone) are every leftmost match that its checks
-    confirm; others (iban by mod-97; ssn, which context must support) count from ``least_score``. Base spans stay
+    confirm; others (iban by mod-97; ssn, which context must support; secret, a key or password of both letters and
+    digits) count from ``least_score``. Base spans stay
     whatever their score. A null or empty text has none. Row by row: nothing is shuffled, no Python runs.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))

@@ -101,7 +101,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 4096,
 
     The codebooks are fitted on at most ``sample`` rows (those of least hash); every row is encoded, once. Rows are dealt
     in blocks of about ``row_block`` (if not given, so many that there are four blocks for each shuffle partition, within
-    1,024 and 65,536 rows); each row moves to its block and each query to every block. A task holds one block, its
+    4,096 and 65,536 rows); each row moves to its block and each query to every block. A task holds one block, its
     vectors and codes, and the queries run past it, ``at_once`` of them: their tables are summed over the codes, the
     ``candidates`` best of the block and all that tie with the last of them are reranked exactly, so a block gives ``k``
     rows a query; these meet in one more top-k. With at most ``candidates`` rows in a block the result is exact.
@@ -122,7 +122,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 4096,
     wide = -(-dimension // width) * width
     pad = lambda x: np.pad(x, ((0, 0), (0, wide - dimension)))
     books = fit(pad(picked), width)
-    block = row_block or min(1 << 16, max(1 << 10, -(-count // (4 * partitions(spark)))))
+    block = row_block or min(1 << 16, max(1 << 12, -(-count // (4 * partitions(spark)))))
     blocks = -(-count // block)
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
     held = rows.select("vec_id", "v", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("rb"))

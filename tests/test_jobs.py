@@ -11,7 +11,7 @@ from quern.operators.sink import backup_names, commit
 from quern.plans.summary import bulk_summary, doctor, exit_code, legacy_view
 from quern.sources.files import inventory, read_binary, with_content
 
-TEXT = b"Hello, World! " * 100
+TEXT = b"Seven grey geese went by. " * 60
 
 
 def zipped(*members):

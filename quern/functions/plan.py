@@ -77,3 +77,26 @@ def archive_writer(key: Column, family: Column) -> Column:
     """How an archive is put together: a tar and a stream around it, Office packages as ZIP without extra fields, else by
     its own family."""
     return F.when(family.startswith("tar."), F.concat(F.lit("tar, "), F.substring_index(family, ".", -1))).when((family == "zip") & key.isin(R.SENSITIVE), "zip, bare").otherwise(family)
+
+
+#: Codecs that an encoder's description of a sound file is searched for; the first of this order that it names counts.
+SOUND_CODECS = "alac aac flac wavpack tta ape vorbis opus mp3".split()
+
+
+def sound_codec(said: Column) -> Column:
+    """The codec in a description (``Audio: flac, 44100 Hz``); empty if it names none."""
+    lower = F.lower(said)
+    return F.coalesce(*[F.when(F.contains(lower, F.lit(f"audio: {codec}")), codec) for codec in SOUND_CODECS], F.lit(""))
+
+
+def sound_gate(codec: Column, allowed: list[str]) -> Column:
+    """Whether a sound file may be encoded anew: its codec is one of ``allowed``, or could not be told."""
+    return (codec == "") | codec.isin(allowed)
+
+
+def cover_options(pack_images: Column, keep_meta: Column, lossy: Column, ultra: Column, jpeg_quality: Column, png_quality: Column) -> Column:
+    """The options that go to images embedded in a sound file: switches default to off, but for packing images."""
+    off = F.lit(False)
+    return F.struct(
+        F.coalesce(pack_images, F.lit(True)).alias("pack_images"), F.coalesce(keep_meta, off).alias("keep_meta"), F.coalesce(lossy, off).alias("lossy"), F.coalesce(ultra, off).alias("ultra"),
+        jpeg_quality.alias("jpeg_quality"), png_quality.alias("png_quality"))

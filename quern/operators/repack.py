@@ -214,3 +214,12 @@ def repack_standalone(files: DataFrame, options: Options = Options(), keep_conte
     """``repack`` of the plain files alone: archives and unsupported files are no part of the result."""
     plain = identified(files).where(F.coalesce(F.col("kind.family") == "standalone", F.lit(False))).drop("kind")
     return repack(plain, options, keep_content)
+
+
+def folder_totals(results: DataFrame) -> DataFrame:
+    """Of the plain files of a folder, those that got a result: their number and sizes, which are the folder's own."""
+    done = F.col("status") != "skipped"
+    made = done & (F.col("reason") != "no output")
+    sums = [F.coalesce(F.sum(F.when(made, F.col(c))), F.lit(0)).cast("long") for c in ("insize", "outsize")]
+    total = results.agg(F.count_if(made).alias("inner_count"), sums[0].alias("inner_insize"), sums[1].alias("inner_outsize"))
+    return total.withColumns({"total_insize": F.col("inner_insize"), "total_outsize": F.col("inner_outsize")})

@@ -473,6 +473,21 @@ def pdf_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", is_pdf_header(F.encode(content, "utf-8")).alias("is_pdf"))
 
 
+def sound_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by the codec that a description names, and whether they may become FLAC."""
+    said = F.concat(F.lit("Stream #0:0: AUDIO: "), F.element_at(F.array(*[F.lit(x) for x in ("PCM", "Opus", "mp3 (Audio: flac)", "alac", "WavPack")]), (F.col("doc_id") % 5 + 1).cast("int")), F.lit(", "), F.col("text"))
+    rows = table(spark, sf_dir, "documents").select(plan.sound_codec(said).alias("codec"))
+    return rows.groupBy("codec").agg(F.count(F.lit(1)).alias("files"), F.count_if(plan.sound_gate(F.col("codec"), ["flac", "alac"])).alias("open"))
+
+
+def covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options for images embedded in sound files, where some were not given."""
+    c = F.col
+    rows = _asked(spark, sf_dir).where(c("packer").isin(R.CATEGORIES["audio"].split()))
+    made = plan.cover_options(F.when(c("convert"), c("convert")), F.when(c("keep"), True), F.when(c("doc_id") % 2 == 0, c("lossy")), c("ultra"), c("quality"), c("png"))
+    return rows.select("doc_id", made.alias("o")).select("doc_id", "o.*")
+
+
 def run_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = bulk_summary(_results(spark, sf_dir), "source").withColumn("seconds", F.col("files_failed") + F.col("files_skipped") * 0.5)
     return total.select("source", rates(F.col("files_processed"), F.col("seconds")).alias("r")).select("source", "r.*")
@@ -494,5 +509,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [identify_kind, family_counts, ext_key_lists, filter_reasons, dir_prune, category_gate, magic_verify, tar_header, json_minify_savings, json_minify_text,
              xml_minify, data_uri_extract, commit_decision, min_savings, dryrun_vs_real, best_of_three, extract_guard, bulk_totals, container_rollup, legacy_final,
              legacy_rows, bulk_totals_failed, pdf_plans, image_plans, video_plans, packer_options, extract_limit_texts, archive_writers, name_gate, nested_members,
-             pdf_headers, run_rates, dir_lists, backup_plan, report_csv, size_functions, parquet_roundtrip, orc_roundtrip, zip_walk, tar_walk, nested_walk, sqlite_vacuum, psd_rezip, dicom_gate]
+             pdf_headers, sound_codecs, covers, run_rates, dir_lists, backup_plan, report_csv, size_functions, parquet_roundtrip, orc_roundtrip, zip_walk, tar_walk, nested_walk, sqlite_vacuum, psd_rezip, dicom_gate]
     return {f.__name__: f for f in plain} | {f"stream_roundtrip_{c}": stream_roundtrip(c) for c in ("gz", "xz", "bz2", "lzma", "zst", "br", "lz4")}

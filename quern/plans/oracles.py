@@ -164,6 +164,10 @@ def oracle_sql() -> dict[str, str]:
   SELECT depth, is_archive, count(*) FILTER (WHERE NOT is_archive OR depth = 0) AS open, count(*) AS members FROM m GROUP BY 1, 2""",
         "pdf_headers": """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN true WHEN doc_id % 4 = 1 THEN octet_length(encode(text)) <= 1019 OR starts_with(ltrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '%PDF')
   ELSE false END AS is_pdf FROM documents""",
+        "sound_codecs": """WITH s AS (SELECT CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'opus' WHEN 2 THEN 'flac' WHEN 3 THEN 'alac' ELSE 'wavpack' END AS codec FROM documents)
+  SELECT codec, count(*) AS files, count(*) FILTER (WHERE codec IN ('', 'flac', 'alac')) AS open FROM s GROUP BY 1""",
+        "covers": f"""WITH {ASKED} SELECT doc_id, true AS pack_images, keep AS keep_meta, doc_id % 2 = 0 AND lossy AS lossy, ultra, quality AS jpeg_quality, png AS png_quality FROM asked
+  WHERE packer IN ('flac', 'm4a', 'wv', 'ape', 'tta', 'oga', 'ogg', 'mp3')""",
         "run_rates": f"""WITH {RESULTS}, t AS (SELECT source, count(*) FILTER (WHERE status <> 'skipped')::DOUBLE AS files, count(*) FILTER (WHERE status = 'skipped') * 0.5::DOUBLE AS seconds FROM r GROUP BY 1)
   SELECT source, seconds / nullif(files, 0) AS seconds_per_file, files / nullif(seconds, 0) AS files_per_second FROM t""",
         "dir_lists": "SELECT doc_id, CASE WHEN source = lang THEN source ELSE source || '|' || lang END AS dirs FROM documents",

@@ -114,7 +114,9 @@ def test_bulk(spark, tmp_path):
 
 
 def test_standalone(spark):
-    from quern.operators.repack import repack_standalone
+    from quern.operators.repack import folder_totals, repack_standalone
 
     rows = spark.createDataFrame([("a.json", b"[1,  2]"), ("b.docx", zipped(("a.json", b"[1,  2]"))), ("c.txt", b"x")], "path string, content binary")
     assert [(r.path, r.status) for r in repack_standalone(rows).collect()] == [("a.json", "packed")]
+    total = folder_totals(repack_standalone(rows.union(spark.createDataFrame([("bad.json", b"{")], rows.schema)))).first()
+    assert (total.inner_count, total.total_insize, total.total_outsize) == (1, 7, 5)

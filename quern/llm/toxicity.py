@@ -30,8 +30,9 @@ class Linear(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> Linear:
-    """Logistic regression with a ridge penalty, by Newton's method; a constant where only one class is seen."""
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30, start: Linear | None = None) -> Linear:
+    """Logistic regression with a ridge penalty, by Newton's method until it settles, at the one optimum there is, wherever
+    it starts; a constant where only one class is seen."""
     seen = len(y)
     if not seen or y.min() == y.max():
         rate = (y.sum() + 0.5) / (seen + 1) if seen else 0.0
@@ -39,7 +40,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12
     wide = np.hstack([x, np.ones((seen, 1))])
     penalty = np.full(wide.shape[1], ridge)
     penalty[-1] = 1e-6
-    w = np.zeros(wide.shape[1])
+    w = np.zeros(wide.shape[1]) if start is None else np.append(start.weights, start.bias)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(wide @ w, -30, 30)))
         gradient = wide.T @ (p - y) + penalty * w
@@ -79,7 +80,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, ridge: float
         away = np.zeros(len(x))
         for fold in np.unique(folds):
             held = folds == fold
-            away[held] = fit_linear(x[~held], labels[~held, n], ridge)(x[held])
+            away[held] = fit_linear(x[~held], labels[~held, n], ridge, start=models[-1])(x[held])
         x = np.hstack([x, away[:, None]])
     return models
 

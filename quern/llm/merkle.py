@@ -23,8 +23,7 @@ LINE = re.compile(r"[^\n]*\n|[^\n]+")
 SECTION = 8
 
 
-#: Words with the blanks after them; a long word in pieces that end where its own characters say, of at most 64.
-WORD = re.compile(r"\S+\s*|\s+")
+#: Words of more characters than this are compared in pieces.
 LONG = 32
 
 
@@ -95,18 +94,24 @@ def _unmatched(a: list, b: list) -> tuple[int, list, list]:
     return same, rest, other[::-1]
 
 
-def pieces(phrase: str) -> list[str]:
-    """The words of a phrase; long ones cut further, at places that do not move when text is put before them."""
-    out = []
-    for word in WORD.findall(phrase):
-        start = 0
-        if len(word) > LONG:
-            for k, c in enumerate(word):
-                if ord(c) * 2654435761 >> 7 & 7 == 0 or k - start == 63:
-                    out.append(word[start : k + 1])
-                    start = k + 1
-        out.append(word[start:])
-    return out
+def pieces(word: str) -> list[str]:
+    """A long word in pieces that end where its own characters say, so that they do not move when text is put before them."""
+    out, start = [], 0
+    for k, c in enumerate(word):
+        if ord(c) * 2654435761 >> 7 & 7 == 0 or k - start == 63:
+            out.append(word[start : k + 1])
+            start = k + 1
+    return [*out, word[start:]]
+
+
+def word_counts(phrases: list[str]) -> Counter:
+    """Words of some phrases and how often each occurs; long ones by their pieces."""
+    found = Counter(" ".join(phrases).split())
+    for word in [w for w in found if len(w) > LONG]:
+        times = found.pop(word)
+        for piece in pieces(word):
+            found[piece] += times
+    return found
 
 
 def _leaves(a: list[tuple], b: list[tuple]) -> tuple[int, list[str], list[str]]:
@@ -134,8 +139,9 @@ def likeness(a: Tree, b: Tree) -> float:
     same, mine, other = _unmatched(a.sections, b.sections)
     more, mine, other = _unmatched([p for s in mine for p in s.paragraphs], [p for s in other for p in s.paragraphs])
     phrases, mine, other = _leaves(*([x for p in side for x in zip(p.phrases, p.texts, strict=True)] for side in (mine, other)))
-    words, _, _ = _leaves(*([(x, x) for text in side for x in pieces(text)] for side in (mine, other)))
-    return 2 * (same + more + phrases + words) / (a.length + b.length)
+    left, right = word_counts(mine), word_counts(other)
+    words = sum((len(w) + 1) * min(n, right[w]) for w, n in left.items() if w in right)  # with a blank each
+    return min(1.0, 2 * (same + more + phrases + words) / (a.length + b.length))
 
 
 def first_edit(a: Tree, b: Tree) -> int | None:

@@ -1,14 +1,16 @@
 """Near-duplicates by exact Jaccard similarity of word shingles: SimHashes and a prefix filter propose, comparison decides.
 
 SimHashes at a few bits' distance, from the byte-position index of ``simhash``, find most copies but not all pairs at a
-given similarity; a prefix filter over rare shingles proposes the rest. Every pair of distinct shingle sets at the wanted similarity is found; nothing is capped or sampled:
+given similarity; a prefix filter over rare shingles proposes the rest, across what SimHashes have linked. Every pair of distinct shingle sets at the wanted similarity is found; nothing is capped or sampled:
 
 1. *Prefixes by hash.* Two sets that overlap enough share at least l of their lowest hashes, if each lists l more than
    it may lack. A set with fewer than l of them in any other row has no partner and goes.
-2. *Prefixes by rarity.* Among the sets left, shingles are ordered by the number of sets that hold them. A set with
-   over its permitted share of shingles of its own goes; the others are listed under the rare end of their order.
-3. *SimHashes.* Sets with SimHashes at ``distance`` bits or less are listed together as well.
-4. *Verification.* Sets that lists connect are compared in full. Only links of a spanning tree come out, so a group
+2. *SimHashes.* Sets left that chains of SimHashes at ``distance`` bits or less connect are compared in full (4); those
+   that are similar are linked and count as one from here on.
+3. *Prefixes by rarity.* Shingles are ordered by the number of sets that hold them. A set with over its permitted
+   share of shingles of its own goes; the others are listed under the rare end of their order. A list proposes pairs
+   only across what step 2 has linked.
+4. *Verification.* Sets that proposals connect are compared in full. Only links of a spanning tree come out, so a group
    of n copies gives n - 1 rows. A connected group of much text is dealt in blocks of which each two meet in a cell.
 """
 
@@ -108,8 +110,9 @@ def _hash_pairs(sets: DataFrame, distance: int) -> DataFrame:
     return same.union(links.join(one, "x").join(other, "y").select("a", "b"))
 
 
-def _candidates(sets: DataFrame, alike: tuple[int, int], distance: int) -> DataFrame:
-    """(node, component): groups of names that hold every similar pair between them."""
+def _rare_pairs(sets: DataFrame, linked: DataFrame, alike: tuple[int, int]) -> DataFrame:
+    """(a, b): heads of sets that the prefix filter proposes. A set's head is its component in ``linked`` (node,
+    component), else itself; lists whose sets have one head, being linked as they are, propose nothing."""
     schema, ddl = arrow_schema({"name": pa.int64(), "n": pa.int64(), "shingle": pa.int64()})
 
     def run(batches):
@@ -122,11 +125,10 @@ def _candidates(sets: DataFrame, alike: tuple[int, int], distance: int) -> DataF
     common = written(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "shared-shingles")
     ranked = held.join(common, "shingle").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("order"))
     spare = F.size("order") - F.expr(f"(n * {alike[0]} + {alike[1] - 1}) div {alike[1]}").cast("int")
-    listed = ranked.where(spare >= 0).select("name", F.explode(F.slice("order", 1, spare + 1)).alias("o")).select("name", "o.shingle")
-    listed = written(listed, "rare-ends")
-    first = listed.groupBy("shingle").agg(F.min("name").alias("b"), F.max("name").alias("most")).where("b < most").select("shingle", "b")
-    rare = listed.join(first, "shingle").where("name <> b").select(F.col("name").alias("a"), "b")
-    return connected_components(rare.union(_hash_pairs(sets, distance)))
+    ranked = ranked.where(spare >= 0).join(linked, F.col("name") == F.col("node"), "left").withColumn("head", F.coalesce("component", "name"))
+    listed = written(ranked.select("head", F.explode(F.slice("order", 1, spare + 1)).alias("o")).select("head", "o.shingle"), "rare-ends")
+    first = listed.groupBy("shingle").agg(F.min("head").alias("b"), F.max("head").alias("most")).where("b < most").select("shingle", "b")
+    return listed.join(first, "shingle").where("head <> b").select(F.col("head").alias("a"), "b").distinct()
 
 
 def tree_links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, alike: tuple[int, int] = ALIKE) -> list[tuple[int, int]]:
@@ -152,9 +154,19 @@ def tree_links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray | Non
 
 
 def similar_links(sets: DataFrame, alike: tuple[int, int] = ALIKE, distance: int = 4, block: int = 1 << 20) -> DataFrame:
-    """(a, b) between names of ``sets`` that connect exactly what pairs of that similarity connect. Candidate groups of
-    more than ``block`` shingles are split in blocks of about that many, and each two blocks meet in a cell."""
-    groups = _candidates(sets, alike, distance)
+    """(a, b) between names of ``sets`` that connect exactly what pairs of that similarity connect. What SimHashes
+    propose is compared first; the prefix filter then proposes across what they have linked."""
+    near = written(_compared(sets, connected_components(_hash_pairs(sets, distance)), alike, block), "simhash-links")
+    linked = connected_components(near)
+    groups = connected_components(_rare_pairs(sets, linked, alike)).withColumnsRenamed({"node": "head", "component": "group"})
+    heads = sets.select("name").join(linked, F.col("name") == F.col("node"), "left").select(F.col("name").alias("node"), F.coalesce("component", "name").alias("head"))
+    rest = written(heads.join(groups, "head").select("node", F.col("group").alias("component")), "rare-groups")
+    return near.unionByName(_compared(sets, rest, alike, block))
+
+
+def _compared(sets: DataFrame, groups: DataFrame, alike: tuple[int, int], block: int) -> DataFrame:
+    """Links (a, b) that connect what similar pairs within ``groups`` (node, component) connect. Groups of more than
+    ``block`` shingles are split in blocks of about that many, and each two blocks meet in a cell."""
     rows = written(sets.join(groups, sets.name == groups.node).select("component", "name", "n", "shingles"), "candidates")
     large = rows.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")).where("blocks > 1")
     mine = F.pmod(F.xxhash64("name", F.lit(7)), F.col("blocks")).cast("int")

@@ -55,6 +55,27 @@ def test_cells(spark):
     assert len({found.get(n, n) for n in names}) == len(set(root)) == len(set(zip(root, [found.get(n, n) for n in names], strict=True)))
 
 
+def test_simhash_links_settle(spark):
+    """What SimHashes link is settled: the prefix filter proposes across it alone, and the groups stay exact."""
+    random.seed(8)
+    base = [f"w{random.randrange(10**6)}" for _ in range(3000)]
+    near = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in (100, 900, 2000)]
+    far = [" ".join([f"y{j}" if j % 60 == k else w for j, w in enumerate(base)]) for k in (7, 31)]
+    docs = spark.createDataFrame([(t,) for t in [*near, *far]], "text string")
+    sets = shingle_dedup.written(shingle_dedup._sets(docs, shingle_dedup._alive(docs, 5, (4, 5)), 5), "sets")
+    linked = shingle_dedup.connected_components(shingle_dedup._compared(sets, shingle_dedup.connected_components(shingle_dedup._hash_pairs(sets, 4)), (4, 5), 1 << 20))
+    none = spark.createDataFrame([], "node long, component long")
+    names = [shingle_dedup.set_name(shingle_dedup.shingle_set(t, 5)) for t in [*near, *far]]
+    assert set(names[:3]) <= {r.node for r in linked.collect()}
+    ends = lambda pairs: {x for r in pairs.collect() for x in r}
+    assert ends(shingle_dedup._rare_pairs(sets, none, (4, 5))) == set(names)
+    head = {r.node: r.component for r in linked.collect()}
+    assert ends(shingle_dedup._rare_pairs(sets, linked, (4, 5))) == {head.get(n, n) for n in names} != set(names)
+    found = {r.node: r.component for r in shingle_dedup.connected_components(shingle_dedup.similar_links(sets)).collect()}
+    root = alike_groups([*near, *far])
+    assert len(set(zip(root, [found.get(n, n) for n in names], strict=True))) == len(set(root)) == len({found.get(n, n) for n in names})
+
+
 def test_alike_rows_without_own_id(spark):
     """One null-id row that heads its group; a null-id copy of a document that stays; an id that heads one group and
     is a copy in another; rows alike in everything."""

@@ -18,8 +18,9 @@ from quern.functions.verify import is_pdf_header, verify
 from quern.operators import codecs
 from quern.operators.repack import best_candidate, dicom_is_packable, opened, packed, repack, with_name_reason
 from quern.operators.sink import backup_names
+from quern.operators.worker import leanly, spent
 from quern.plans.summary import bulk_summary, container_totals, csv_rows, legacy_files, legacy_view, rates
-from quern.plans.tables import shared_folder, written
+from quern.plans.tables import bounded_batches, shared_folder, written
 
 #: Extensions that the made-up names go through: all that are known, compounds, and some that are not.
 NAMES = [*R.ARCHIVES, *R.STANDALONE, *R.COMPOUND, "txt", "deb", "otf", "TAR.GZ", "Jpeg", ""]
@@ -220,16 +221,23 @@ def stream_roundtrip(codec: str) -> Callable[[SparkSession, str], DataFrame]:
     """Each text as a stream of ``codec``, packed again, decoded: the text. Where the codec allows, the stream is made of
     two, which a packer that does its work makes one and smaller."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+
         @F.arrow_udf("binary")
+        @leanly
         def wrap(text):
             import pyarrow as pa
 
+            # the streams to be packed are made quickly; packing is what counts
+            made = lambda data: codecs.quickly_encoded(codec, data)
+
             def one(data: bytes) -> bytes:
                 cuts = [0, len(data) // 2, len(data)] if codec in DOUBLED else [0, len(data)]
-                return b"".join(codecs.encoded(codec, data[a:b], 1) for a, b in zip(cuts, cuts[1:], strict=False))
+                return b"".join(made(data[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
             return pa.array([one((x or "").encode()) for x in text.to_pylist()], pa.binary())
 
         @F.arrow_udf("string")
+        @leanly
         def unwrap(data):
             import pyarrow as pa
 
@@ -281,8 +289,10 @@ def _archives(spark: SparkSession, sf_dir: str, family: str, per: int = 25) -> D
                     info.size = len(data)
                     archive.addfile(info, io.BytesIO(data))
         ext = "docx" if family == "zip" else "tar"
+        spent(2 * sink.tell())
         return pd.DataFrame({"path": [f"{pdf['source'].iloc[0]}/{pdf['part'].iloc[0]}.{ext}"], "content": [sink.getvalue()]})
 
+    bounded_batches(spark)
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.floor(F.col("doc_id") / (per * 20)).cast("long").alias("part"))
     return rows.groupBy("source", "part").applyInPandas(build, "path string, content binary")
 
@@ -293,6 +303,7 @@ def _walk(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     new = repack(files).select(F.col("path").alias("id"), F.lit(family).alias("family"), "content")
     plain = codecs.decoded
     @F.arrow_udf("long")
+    @leanly
     def payload(path, content):
         import pyarrow as pa
 
@@ -320,6 +331,7 @@ def nested_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
         with zipfile.ZipFile(sink, "w") as archive:
             for path, content in sorted(zip(pdf["path"], pdf["content"], strict=True)):
                 archive.writestr(path.rpartition("/")[2], content)
+        spent(2 * sink.tell())
         return pd.DataFrame({"path": [f"{pdf['source'].iloc[0]}-{pdf['shelf'].iloc[0]}.epub"], "content": [sink.getvalue()]})
 
     inner = written(_archives(spark, sf_dir, "zip"), "inner").withColumn("source", F.substring_index("path", "/", 1))
@@ -348,6 +360,7 @@ def sqlite_vacuum(spark: SparkSession, sf_dir: str) -> DataFrame:
                 return pd.DataFrame({"source": [pdf["source"].iloc[0]], "part": [int(pdf["part"].iloc[0])], "content": [file.read()]})
 
     @F.arrow_udf("struct<n:long,bytes:long>")
+    @leanly
     def read(data):
         import os
         import sqlite3
@@ -373,6 +386,7 @@ def sqlite_vacuum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def psd_rezip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layered images whose composite is each text, deflated weakly: the composite after packing."""
     @F.arrow_udf("binary")
+    @leanly
     def build(text):
         import struct
         import zlib
@@ -383,6 +397,7 @@ def psd_rezip(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.array([head + b"\0\2" + zlib.compress((x or "").encode(), 0) for x in text.to_pylist()], pa.binary())
 
     @F.arrow_udf("string")
+    @leanly
     def composite(data):
         import zlib
 
@@ -398,6 +413,7 @@ def psd_rezip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dicom_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DICOM files with each text as pixels: transfer syntaxes that may be packed, and a signature after the pixels."""
     @F.arrow_udf("binary")
+    @leanly
     def build(doc, text):
         import struct
 

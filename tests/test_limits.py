@@ -110,3 +110,59 @@ def test_listing_is_spread(spark, tmp_path):
         (tmp_path / f"one/sub{k}/more/f").write_bytes(b"x")
     listed = inventory(spark, str(tmp_path))
     assert listed.count() == 12 and listed.select(F.spark_partition_id()).distinct().count() >= 12
+
+
+def test_pages_hold_many_rows(spark, tmp_path):
+    """Pages are few, as each costs a compressor's set-up."""
+    import pyarrow.parquet as pq
+
+    from quern.sources.recompress import recompress_parquet
+
+    spark.range(0, 400_000, 1, 1).selectExpr("id", "id % 7 as few").coalesce(1).write.parquet(str(tmp_path / "in"))
+    made = recompress_parquet(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert made.count() == 400_000 and made.selectExpr("sum(id)").first()[0] == 400_000 * 399_999 // 2
+    pages = 0
+    for name in os.listdir(tmp_path / "out"):
+        if name.endswith(".parquet"):
+            group = pq.ParquetFile(tmp_path / "out" / name).metadata.row_group(0)
+            offsets = [group.column(k).has_offset_index for k in range(2)]
+            assert all(offsets)
+            data = (tmp_path / "out" / name).read_bytes()
+            pages += data.count(b"\x28\xb5\x2f\xfd")  # frames of zstd: one for each page and dictionary
+    assert pages <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_workers_give_memory_back(spark):
+    """Memory that a column's function used is given back as batches pass, and batches are bounded."""
+    from quern.plans import catalog
+
+    catalog.stream_roundtrip("lz4")(spark, "/root/testdata/sf0.001").count()
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    from quern.operators import worker
+
+    calls, before = [], worker.release
+    worker.release = lambda: calls.append(1)
+    try:
+        import pyarrow as pa
+
+        column = pa.array([bytes(1 << 20)] * 8, pa.binary())
+        for _ in range(8):
+            worker.leanly(lambda x: x)(column)
+        assert len(calls) >= 3
+        assert list(worker.lean(lambda batches: batches)(iter([pa.record_batch([column], ["a"])] * 8))) and len(calls) >= 5
+    finally:
+        worker.release = before
+
+
+def test_small_payloads_are_decoded_once(monkeypatch):
+    seen, before = [], codecs.payload
+    monkeypatch.setattr(codecs, "payload", lambda kind, data: (seen.append(kind), before(kind, data))[1])
+    data = b"some text " * 1000
+    for kind in ("gz", "xz", "bz2", "lzma", "zst", "br", "lz4"):
+        seen.clear()
+        stream = codecs.quickly_encoded(kind, data)
+        made = codecs.stream(kind)(stream, Options())
+        assert len(seen) == 2 and codecs.decoded(kind, made) == data
+    monkeypatch.setattr(codecs, "HELD", 100)
+    assert codecs.decoded("lzma", codecs.stream("lzma")(codecs.quickly_encoded("lzma", data), Options())) == data
+    assert codecs.stream("gz")(b"not gzip", Options()) is None

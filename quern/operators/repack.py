@@ -23,15 +23,18 @@ from quern.functions.verify import verify
 from quern.operators import containers
 from quern.operators.codecs import PACKERS, Options, holds_tar
 from quern.operators.dicom import packable
+from quern.operators.worker import lean, leanly, spent
 from quern.plans.tables import bounded_batches, written
 
 
 @F.arrow_udf(T.BooleanType())
+@leanly
 def _peek(ext: pa.Array, start: pa.Array) -> pa.Array:
     return pa.array([data is not None and holds_tar(e, data) for e, data in zip(ext.to_pylist(), start.to_pylist(), strict=True)], pa.bool_())
 
 
 @F.arrow_udf(T.BooleanType())
+@leanly
 def dicom_is_packable(content: pa.Array) -> pa.Array:
     return pa.array([data is not None and packable(data) for data in content.to_pylist()], pa.bool_())
 
@@ -50,34 +53,56 @@ def packed(rows: DataFrame, options: Options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            step = max(1, min(64, batch.num_rows * (4 << 20) // max(1, batch.nbytes)))
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
                 out = []
                 for packer, content in zip(part.column("packer").to_pylist(), part.column("content").to_pylist(), strict=True):
                     out.append(PACKERS[packer](content, options) if packer in PACKERS and content is not None else None)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "packed"])
 
-    return rows.mapInArrow(run, schema)
+    bounded_batches(rows.sparkSession)
+    return rows.mapInArrow(lean(run), schema)
 
 
-MEMBERS = "parent string, id string, ord int, path string, header binary, content binary"
+MEMBERS = {"parent": "string", "id": "string", "ord": "int", "path": "string", "header": "binary", "content": "binary"}
+#: What putting an archive together again needs to know of it; it goes with each member, the remark with the first alone.
+OUTER = {"outer": "string", "bare": "boolean", "remark": "binary"}
 
 
-def opened(archives: DataFrame) -> DataFrame:
+def opened(archives: DataFrame, outer: bool = False) -> DataFrame:
     """Member rows of archives (id, family, content); ids are the archive's, ``!/`` and the member's number and name.
-    A damaged archive gives no rows."""
+    A damaged archive gives no rows. ``outer``: archives have key and remark too, and members say what ``OUTER`` lists."""
+    fields = MEMBERS | (OUTER if outer else {})
+    schema = pa.schema([(k, {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}[v]) for k, v in fields.items()])
+
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for parent, family, data in zip(*(batch.column(c).to_pylist() for c in ("id", "family", "content")), strict=True):
+            for parent, family, data, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     found = list(containers.members(family, data))
                 except Exception:  # damaged in any of the ways the readers know: the archive stays as it is
                     continue
-                for k in range(0, len(found), 64):
-                    rows = [(parent, f"{parent}!/{n}:{name}", n, name, header, content) for n, (name, header, content) in enumerate(found[k : k + 64], k)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["parent", "id", "ord", "path", "header", "content"])
+                for part in runs_within(found):
+                    rows = []
+                    for n in part:
+                        name, header, content = found[n]
+                        rows.append((parent, f"{parent}!/{n}:{name}", n, name, header, content, *((family, more[0] in R.SENSITIVE, more[1] if n == 0 else None) if outer else ())))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    return archives.select("id", "family", "content", *(("key", "remark") if outer else ())).mapInArrow(lean(run), ", ".join(f"{k} {v}" for k, v in fields.items()))
+
 
-    return archives.select("id", "family", "content").mapInArrow(run, MEMBERS)
+def runs_within(found: list[tuple], rows: int = 64, nbytes: int = 4 << 20) -> Iterator[range]:
+    """Members in runs of at most ``rows`` and, but for a single one, about ``nbytes``."""
+    first = size = 0
+    for k, (_, _, content) in enumerate(found):
+        size += len(content or b"")
+        if k > first and (size > nbytes or k - first == rows):
+            yield range(first, k)
+            first, size = k, len(content or b"")
+    if first < len(found):
+        yield range(first, len(found))
 
 
 KIND = T.StructType([T.StructField("key", T.StringType()), T.StructField("family", T.StringType()), T.StructField("packer", T.StringType()), T.StructField("is_archive", T.BooleanType())])
@@ -87,6 +112,7 @@ LOOK = T.StructType([*KIND.fields, T.StructField("unpacked", T.LongType()), T.St
 def _inspect(options: Options):
     """A kind with what its archive says: unpacked size, signature, remark."""
     @F.arrow_udf(LOOK)
+    @leanly
     def look(kinds: pa.Array, archive: pa.Array) -> pa.Array:
         rows = []
         for k, content in zip(kinds.to_pylist(), archive.to_pylist(), strict=True):
@@ -152,30 +178,35 @@ def repack(files: DataFrame, options: Options = Options(), keep_content: bool =
     that an archive's size is that of a real run; only the file itself is not replaced.
 
     Nothing at the top is copied: the result is computed from ``files`` as it is read, so write it, or commit it, once.
-    To the shared folder go, for each level, the ids of its archives and, for members alone, their bytes as they will be
-    written; members are opened anew from the archive for each level, not kept unpacked.
+    Members are opened, looked at and packed in one pass over the archives of the level above; to the shared folder go
+    their bytes as they will be written, and those of archives within archives, from which the next level is opened.
     """
     bounded_batches(files.sparkSession)
     level = files.select(F.col("path").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("ord"), "path", F.lit(None).cast("binary").alias("header"), "content")
-    levels: list[DataFrame] = []
-    for depth in range(options.max_depth + 1):
-        rows = _classified(level, depth, options)
-        levels.append(rows)
-        archives = rows.where("is_archive and reason = ''")
-        if not options.deep_walking or archives.isEmpty():
+    top = _classified(level, 0, options).withColumn("walk", F.col("is_archive") & (F.col("reason") == "") & F.lit(options.deep_walking))
+    archives, levels = top.where("walk"), []
+    while options.deep_walking and len(levels) < options.max_depth:
+        depth = len(levels) + 1
+        rows = _classified(opened(archives, True).withColumnRenamed("remark", "outer_remark"), depth, options).withColumn("walk", F.col("is_archive") & (F.col("reason") == ""))
+        rows = _decided(_packed_plain(rows, options), options, False)
+        # an archive within an archive is opened from here
+        rows = rows.withColumn("new", _new()).withColumn("content", F.when(F.col("walk"), F.col("content"))).drop("packed")
+        levels.append(written(rows.withColumn("new", F.when(~F.col("walk"), F.col("new"))), f"packed{depth}"))
+        archives = levels[-1].where("walk")
+        if archives.isEmpty():
             break
-        level = opened(archives)
-    inner = None
-    for depth in range(len(levels) - 1, -1, -1):
-        ready = levels[depth].withColumn("packer", F.when(F.col("reason") == "", F.col("packer")))
-        walked = F.col("is_archive") & (F.col("reason") == "") & F.lit(inner is not None)
-        rows = packed(ready.where(~walked), options).withColumns({c: F.lit(0).cast("long") for c in ("inner_count", "inner_insize", "inner_outsize")})
-        if inner is not None:
-            rows = rows.unionByName(_closed(ready.where(walked), inner, options))
-        rows = _decided(rows, options, options.dryrun and depth == 0)
-        new = F.when(F.coalesce(F.col("result.replaced"), F.lit(False)), F.col("packed")).otherwise(F.col("content"))
-        rows = rows.withColumn("new", new)
-        inner = written(rows.select("parent", "ord", "path", "header", "result", "new"), f"packed{depth}") if depth else rows
+    inner, members = None, ["parent", "ord", "path", "header", "outer", "bare", "outer_remark", "result", "new"]
+    for depth in range(len(levels), 0, -1):
+        rows = levels[depth - 1]
+        if inner is None:
+            inner = rows.select(*members)
+            continue
+        put = _decided(_closed(rows.where("walk").drop("result", "new"), inner, options), options, False).withColumn("new", _new())
+        inner = rows.where("not walk").select(*members).unionByName(written(put.select(*members), f"closed{depth}"))
+    rows = _packed_plain(top.where("not walk"), options).withColumns({c: F.lit(0).cast("long") for c in COUNTS})
+    if inner is not None:
+        rows = rows.unionByName(_closed(top.where("walk"), inner, options))
+    inner = _decided(rows, options, options.dryrun).withColumn("new", _new())
     skipped = F.col("reason") != ""
     return inner.select(
         "path", "key", "family", F.when(skipped, "skipped").when(F.col("result.replaced"), "packed").otherwise("kept").alias("status"),
@@ -184,24 +215,36 @@ def repack(files: DataFrame, options: Options = Options(), keep_content: bool =
         F.coalesce("result.replaced", F.lit(False)).alias("replaced"), "inner_count", "inner_insize", "inner_outsize", *([F.col("new").alias("content")] if keep_content else []))
 
 
+COUNTS = ("inner_count", "inner_insize", "inner_outsize")
+
+
+def _new() -> Column:
+    return F.when(F.coalesce(F.col("result.replaced"), F.lit(False)), F.col("packed")).otherwise(F.col("content"))
+
+
+def _packed_plain(rows: DataFrame, options: Options) -> DataFrame:
+    """``rows`` with ``packed``; what is barred, or waits for its members, gets none."""
+    return packed(rows.withColumn("packer", F.when((F.col("reason") == "") & ~F.col("walk"), F.col("packer"))), options)
+
+
 def _closed(archives: DataFrame, inner: DataFrame, options: Options) -> DataFrame:
     """``archives`` with ``packed``, put together from the rows of the level below; a group is one archive, which is
     within ``max_rebuilt_bytes``."""
-    families = archives.select(F.col("id").alias("parent"), F.col("family").alias("outer"), F.col("key").isin(R.SENSITIVE).alias("bare"), "remark")
-    grouped = inner.select("parent", "ord", F.col("path").alias("name"), "header", "new", F.col("result.insize").alias("i"), F.col("result.outsize").alias("o")).join(families, "parent")
+    grouped = inner.select("parent", "ord", F.col("path").alias("name"), "header", "new", "outer", "bare", "outer_remark", F.col("result.insize").alias("i"), F.col("result.outsize").alias("o"))
 
     def put(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
         top = pdf.iloc[0]
         some = [(n, h, None if c is None else bytes(c)) for n, h, c in zip(pdf["name"], pdf["header"], pdf["new"], strict=True)]
-        whole = containers.rebuilt(top["outer"], some, options.compression_level, bytes(top["remark"] or b""), bool(top["bare"]))
+        whole = containers.rebuilt(top["outer"], some, options.compression_level, bytes(top["outer_remark"] or b""), bool(top["bare"]))
         done = pdf["i"].notna()
+        spent(sum(len(h or b"") + len(c or b"") for _, h, c in some) + len(whole or b""))
         return pd.DataFrame({"parent": [top["parent"]], "whole": [whole], "inner_count": [int(done.sum())], "inner_insize": [int(pdf["i"][done].sum())], "inner_outsize": [int(pdf["o"][done].sum())]})
 
     made = grouped.groupBy("parent").applyInPandas(put, "parent string, whole binary, inner_count long, inner_insize long, inner_outsize long")
     joined = archives.join(made.withColumnRenamed("parent", "of"), F.col("id") == F.col("of"), "left").drop("of")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return joined.select(*archives.columns, F.col("whole").alias("packed"), zero("inner_count"), zero("inner_insize"), zero("inner_outsize"))
+    return joined.select(*archives.columns, F.col("whole").alias("packed"), *map(zero, COUNTS))
 
 
 def best_candidate(candidates: DataFrame, group: Column, size: Column, ordinal: Column, *rest: str) -> DataFrame:

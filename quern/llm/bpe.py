@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 
@@ -69,6 +70,7 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.splitter, self.model = Splitter(path), Tokenizer.from_file(path).model
+        self.splitter.spec = None  # the model has what of it is used here
         self.letters = {b: c for c, b in _byte_letters().items()}
         self.memo = Memo(self._piece, most)
 
@@ -76,8 +78,8 @@ class Ids:
         if piece in self.splitter.added:
             ids = [self.splitter.added[piece]]
         else:
-            ids = [x.id for x in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
-        return np.array(ids, "<u4").tobytes()
+            ids = [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.splitter.pieces(text)))

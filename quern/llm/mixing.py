@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.shared import WORD, bounded_batches, small, written
+from quern.operators.worker import leanly
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -> list[float]:
@@ -66,6 +67,7 @@ def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int]) -> lis
 
 
 @F.arrow_udf(T.LongType())
+@leanly
 def word_count(text: pa.Array) -> pa.Array:
     """Words of a text column; 0 for a null."""
     return pc.fill_null(pc.count_substring_regex(text.cast(pa.large_string()), WORD), 0).cast(pa.int64())
@@ -115,6 +117,7 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3,
 
 
 @F.arrow_udf(T.StringType())
+@leanly
 def words_between(text: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
     """The text from word ``first`` up to before word ``last`` (-1: the end), as it stands; whole texts untouched."""
     out = []

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.worker import release
 from quern.plans.tables import bounded_batches, shared_folder, written
 
 __all__ = ["WORD", "arrow_schema", "bounded_batches", "connected_components", "for_a_task", "partitions", "shared_folder", "slices", "small", "texts", "written"]
@@ -40,7 +41,7 @@ def for_a_task(make: Callable, work: Callable) -> Callable:
             yield from work(make(), batches)
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
+            release()
     return run
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.shared import arrow_schema, bounded_batches, connected_components, partitions, slices, small, texts, written
 from quern.llm.simhash import links_between, one_of_each, row_key, shingle_hashes, simhash
+from quern.operators.worker import lean, leanly
 
 #: Jaccard similarity, as a fraction.
 ALIKE = (4, 5)
@@ -44,6 +45,7 @@ def set_name(shingles: np.ndarray) -> int:
 
 def names_of(text: Column, width: int) -> Column:
     @F.arrow_udf("long")
+    @leanly
     def names(column: pa.Array) -> pa.Array:
         out = []
         for part in slices(pa.RecordBatch.from_arrays([column], ["text"])):
@@ -80,7 +82,7 @@ def _alive(docs: DataFrame, width: int, alike: tuple[int, int]) -> DataFrame:
                     found.append((set_name(s), need, s[: n - least_overlap(n, alike) + max(1, n // 10)]))
                 yield _flat(found, schema)
 
-    listed = docs.mapInArrow(run, ddl)
+    listed = docs.mapInArrow(lean(run), ddl)
     common = written(listed.groupBy("shingle").count().where("count > 1").select("shingle"), "common-shingles")
     hits = listed.join(small(common, common.count(), 2_000_000), "shingle", "left_semi").groupBy("name", "need", "shingle").count()
     return written(hits.groupBy("name", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").select("name"), "alive")
@@ -97,7 +99,7 @@ def _sets(docs: DataFrame, alive: DataFrame, width: int) -> DataFrame:
                 columns = [set_name(s) for s in found], [len(s) for s in found], [signed(simhash(s)) for s in found], [s.tobytes() for s in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    mine = docs.mapInArrow(run, ddl).join(small(alive, alive.count(), 2_000_000), "name", "left_semi")
+    mine = docs.mapInArrow(lean(run), ddl).join(small(alive, alive.count(), 2_000_000), "name", "left_semi")
     return written(mine.groupBy("name", "n", "fp").agg(F.any_value("shingles").alias("shingles")), "sets")
 
 
@@ -121,7 +123,7 @@ def _rare_pairs(sets: DataFrame, linked: DataFrame, alike: tuple[int, int]) -> D
                 rows = zip(*(part.column(c).to_pylist() for c in ("name", "n", "shingles")), strict=True)
                 yield _flat([(name, n, np.frombuffer(s, np.uint64)) for name, n, s in rows], schema)
 
-    held = sets.mapInArrow(run, ddl)
+    held = sets.mapInArrow(lean(run), ddl)
     common = written(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "shared-shingles")
     ranked = held.join(common, "shingle").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("order"))
     spare = F.size("order") - F.expr(f"(n * {alike[0]} + {alike[1] - 1}) div {alike[1]}").cast("int")
@@ -192,7 +194,7 @@ def _compared(sets: DataFrame, groups: DataFrame, alike: tuple[int, int], block:
         if held:
             yield settle(held)
 
-    return dealt.mapInArrow(run, ddl)
+    return dealt.mapInArrow(lean(run), ddl)
 
 
 def keep_one_alike(docs: DataFrame, width: int = 5, alike: tuple[int, int] = ALIKE, distance: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.worker import release
-from quern.plans.tables import bounded_batches, shared_folder, written
+from quern.plans.tables import bounded_batches, shared_folder, shuffles_dropped, written
 
-__all__ = ["WORD", "arrow_schema", "bounded_batches", "connected_components", "for_a_task", "partitions", "shared_folder", "slices", "small", "texts", "written"]
+__all__ = ["WORD", "arrow_schema", "bounded_batches", "connected_components", "for_a_task", "partitions", "shared_folder", "shuffles_dropped", "slices", "small", "texts", "written"]
 
 #: What the contracts call a word: a run of bytes other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,7 +57,7 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, at_once: int = 200_000) -> DataFrame:
     """(node, component) for the undirected ``edges`` (a, b: long); component is the smallest node reachable. Nodes are
     those of edges between two different nodes; edges with a null count for nothing.
 
@@ -65,23 +65,50 @@ def connected_components(edges: DataFrame) -> DataFrame:
     to their roots, and the edges between roots are the next round's graph. Of the nodes that have neighbours, at most
     half are left after two rounds (a node left has taken in at least one), so rounds grow with the logarithm of
     the number of nodes, however ids lie along chains, and the graph shrinks as fast. A hub is only ever aggregated with
-    ``min`` and joined; no neighbour list is built, and nothing but "is there more" reaches the driver.
+    ``min`` and joined; no neighbour list is built, and nothing but "how many more" reaches the driver. A graph of at most
+    ``at_once`` edges, or what rounds have left of a larger one, is settled by one task: for so few, the plans of further
+    rounds cost the driver more than their rows cost anyone.
     """
     graph = written(_ordered(edges.select("a", "b")), "edges")
     levels = []
-    while not graph.isEmpty():
+    while (left := graph.count()) > at_once:
         up = _flattened(graph.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("up")))
         levels.append(up)
         for end in ("high", "low"):
             graph = graph.join(up, graph[end] == up.node, "left").withColumn(end, F.coalesce("up", end)).select("high", "low")
         graph = written(_ordered(graph.select(F.col("high").alias("a"), F.col("low").alias("b"))), "edges")
-    found = edges.sparkSession.createDataFrame([], "node long, component long")
+    empty = edges.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
+    found = written(_settled(graph), "components") if left else empty
     for up in reversed(levels):  # roots of one round are nodes of later ones; written, as the plan holds each twice
         here = up.join(found.select(F.col("node").alias("root"), "component"), F.col("up") == F.col("root"), "left")
         found = written(here.select("node", F.coalesce("component", "up").alias("component")).unionByName(found), "components")
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
+def _settled(graph: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that are not the smallest of theirs, for a few edges (high, low), by one task."""
+    schema, ddl = arrow_schema({"node": pa.int64(), "component": pa.int64()})
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (above := up.get(x, x)) != x:
+                up[x] = up.get(above, above)
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for high, low in zip(batch.column("high").to_pylist(), batch.column("low").to_pylist(), strict=True):
+                high, low = root(high), root(low)
+                if high != low:
+                    up[max(high, low)] = min(high, low)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], schema=schema)
+
+    return graph.repartition(1).mapInArrow(run, ddl)
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     """Each pair (a, b) of different values once, as (high, low)."""
     return pairs.where("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct()

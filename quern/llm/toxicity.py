@@ -30,21 +30,25 @@ class Linear(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30, start: Linear | None = None) -> Linear:
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30, start: Linear | None = None, rows: np.ndarray | None = None) -> Linear:
     """Logistic regression with a ridge penalty, by Newton's method until it settles, at the one optimum there is, wherever
-    it starts; a constant where only one class is seen."""
+    it starts; a constant where only one class is seen. ``rows``: a mask of the rows to fit on."""
+    y = y if rows is None else y[rows]
     seen = len(y)
     if not seen or y.min() == y.max():
         rate = (y.sum() + 0.5) / (seen + 1) if seen else 0.0
         return Linear(np.zeros(x.shape[1]), float(np.log(rate / (1 - rate))) if 0 < rate < 1 else -30.0)
-    wide = np.hstack([x, np.ones((seen, 1))])
+    wide = np.ones((seen, x.shape[1] + 1))
+    wide[:, :-1] = x if rows is None else x[rows]
     penalty = np.full(wide.shape[1], ridge)
     penalty[-1] = 1e-6
     w = np.zeros(wide.shape[1]) if start is None else np.append(start.weights, start.bias)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(wide @ w, -30, 30)))
         gradient = wide.T @ (p - y) + penalty * w
-        curve = (wide * (p * (1 - p))[:, None]).T @ wide + np.diag(penalty)
+        share, curve = (p * (1 - p))[:, None], np.diag(penalty)
+        for at in range(0, wide.shape[1], 64):  # some columns at a time: no second copy of all rows
+            curve[at : at + 64] += (wide[:, at : at + 64] * share).T @ wide
         move = np.linalg.solve(curve, gradient)
         w -= move / max(1.0, np.abs(move).max() / 5)
         if np.abs(move).max() < 1e-6:
@@ -80,7 +84,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, ridge: float
         away = np.zeros(len(x))
         for fold in np.unique(folds):
             held = folds == fold
-            away[held] = fit_linear(x[~held], labels[~held, n], ridge, start=models[-1])(x[held])
+            away[held] = fit_linear(x, labels[:, n], ridge, start=models[-1], rows=~held)(x[held])
         x = np.hstack([x, away[:, None]])
     return models
 
@@ -142,11 +146,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, vocabulary: int
             error = F.sqrt(F.col("all") / totals["all"] * (1 - F.col("all") / (totals["all"] + 1.0)) * (1 / some + 1 / none))
             chosen[n] = {(r["word"], r["more"]) for r in counts.select("word", (a > b).alias("more"), (F.abs(a - b) / error).alias("z")).orderBy(F.desc("z"), "word").limit(vocabulary).collect()}
     index = {w: k for k, w in enumerate(sorted({w for found in chosen.values() for w, _ in found}))}
-    every = F.array(*[F.lit(w) for w in index]).cast("array<string>")
-    had = sampled.select("id", *targets, F.array_intersect("words", every).alias("has")).orderBy("id", "has").collect()
-    x = np.zeros((len(had), len(index)))
-    for k, r in enumerate(had):
-        x[k, [index[w] for w in r["has"]]] = 1
+
+    def marks(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for part in slices(batch):
+                has = np.zeros((part.num_rows, len(index)), np.uint8)
+                for k, own in enumerate(part.column("words").to_pylist()):
+                    has[k, [index[w] for w in own if w in index]] = 1
+                bits = pa.array([r.tobytes() for r in np.packbits(has, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", *targets)), bits], ["id", *targets, "has"])
+
+    # a bit for each word: rows of strings, sorted by Spark, cost the driver most of what this stage asks of it
+    had = [(r, np.unpackbits(np.frombuffer(r["has"], np.uint8), count=len(index))) for r in sampled.mapInArrow(marks, "id long, poor int, toxic int, has binary").collect()]
+    had.sort(key=lambda h: (h[0]["id"], np.flatnonzero(h[1]).tolist()))
+    x = np.stack([bits for _, bits in had]) if had else np.zeros((0, len(index)), np.uint8)
+    had = [r for r, _ in had]
     toxic = np.array([r["toxic"] for r in had], bool)
     telling = sorted(index[w] for w, more in chosen["toxic"] if more)
     kind = np.full(len(had), -1)

@@ -25,12 +25,28 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files: they go as each write ends, not when the driver's collector comes by."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """``df`` written as Parquet and read back; what lies above is not computed again, lost executors or not. ``stays``:
     an enclosing ``scratch`` leaves it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     if not stays and (paths := _WRITTEN.get()) is not None:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

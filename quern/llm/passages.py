@@ -19,7 +19,19 @@ BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * n
 BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, count: int) -> np.ndarray:
+    """The first powers of ``base``, modulo 2^64; up to 2^18 of them are kept."""
+    if len(out := _POWERS.get(base, ())) < count:
+        out = _powers(base, max(count, 1024) if count > 1 << 18 else 1 << 18)
+        if count <= 1 << 18:
+            _POWERS[base] = out
+    return out[: max(1, count)]
+
+
+def _powers(base: int, count: int) -> np.ndarray:
     out, have = np.ones(max(1, count), np.uint64), 1
     while have < count:
         more = min(have, count - have)
@@ -91,7 +103,7 @@ def _listed(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 4096, 2 << 20):
+            for part in slices(batch, 4096, 192 << 10):
                 found = sampled([x.encode() for x in part.column("text").to_pylist()], words)
                 counts = [len(x[0]) for x in found]
                 own = np.repeat(np.arange(len(found)), counts)
@@ -110,16 +122,20 @@ def shared_words(texts: DataFrame, words: int) -> DataFrame:
     (t1, t2, copies, text) that have any. Words are what stands between blanks; what blanks does not matter."""
     listed = written(_listed(texts, words), "shingles")
     common = written(listed.groupBy("shingle").agg(F.sum("weight").alias("n")).where("n > 1").select("shingle"), "common-shingles")
-    spots = listed.join(common, "shingle", "left_semi").groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("spots"))
+    spots = listed.join(common.hint("shuffle_hash"), "shingle", "left_semi").groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("spots"))
     schema, ddl = arrow_schema({"run": pa.int64(), "t1": pa.int64(), "t2": pa.int64(), "weight": pa.int64(), "start": pa.int32()})
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 512, 2 << 20):
+            for part in slices(batch, 512, 192 << 10):
                 hashes, before = word_hashes([x.encode() for x in part.column("text").to_pylist()])
                 rolling, found = Rolling(hashes), []
-                for k, (spots, copies) in enumerate(zip(part.column("spots").to_pylist(), part.column("copies").to_pylist(), strict=True)):
-                    starts = np.unique(np.concatenate([np.arange(x["first"], x["last"] + 1) for x in spots]))
+                spots = part.column("spots")
+                cuts, flat = np.cumsum([0, *spots.value_lengths().to_pylist()]), spots.flatten()
+                first, last = (flat.field(c).to_numpy().astype(np.int64) for c in (0, 1))
+                for k, copies in enumerate(part.column("copies").to_pylist()):
+                    a, counts = first[cuts[k] : cuts[k + 1]], last[cuts[k] : cuts[k + 1]] - first[cuts[k] : cuts[k + 1]] + 1
+                    starts = np.unique(np.repeat(a - np.cumsum(counts) + counts, counts) + np.arange(counts.sum()))
                     runs = rolling.runs(before[k] + starts, before[k] + starts + words)
                     weight = np.zeros(len(starts), np.int64)
                     weight[np.unique(runs, return_index=True)[1]] = copies
@@ -130,7 +146,7 @@ def shared_words(texts: DataFrame, words: int) -> DataFrame:
 
     runs = written(texts.join(spots, ["t1", "t2"]).select("t1", "t2", "copies", "text", "spots").mapInArrow(run, ddl), "runs")
     twice = written(runs.groupBy("run").agg(F.sum("weight").alias("n")).where("n > 1").select("run"), "runs-twice")
-    starts = runs.join(twice, "run", "left_semi").groupBy("t1", "t2").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    starts = runs.join(twice.hint("shuffle_hash"), "run", "left_semi").groupBy("t1", "t2").agg(F.array_sort(F.collect_list("start")).alias("starts"))
     # runs overlap: each adds the words up to the next one's start, at most all of its own
     ahead = F.zip_with("starts", F.slice("starts", 2, 1 << 30), lambda a, b: F.least(F.coalesce(b - a, F.lit(words)), F.lit(words)))
     return starts.select("t1", "t2", F.aggregate(ahead, F.lit(0).cast("long"), lambda n, x: n + x).alias("shared"))

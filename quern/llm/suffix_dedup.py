@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.passages import shared_words
-from quern.llm.shared import arrow_schema, bounded_batches, partitions, shared_folder, slices, small, written
+from quern.llm.shared import arrow_schema, bounded_batches, partitions, shared_folder, shuffles_dropped, slices, small, written
 
 GRAM = 8
 
@@ -70,7 +71,7 @@ def distinct_texts(docs: DataFrame, length: int) -> DataFrame:
             counts, first = Counter(names), {}
             for k, name in enumerate(names):
                 first.setdefault(name, k)
-            some = batch.take(pa.array(list(first.values()), pa.int64()))
+            some = batch if len(first) == len(names) else batch.take(pa.array(list(first.values()), pa.int64()))
             yield pa.RecordBatch.from_arrays([some.column("t1"), some.column("t2"), pa.array([counts[n] for n in first], pa.int64()), some.column("text")], ["t1", "t2", "copies", "text"])
 
     n = partitions(spark)
@@ -78,7 +79,8 @@ def distinct_texts(docs: DataFrame, length: int) -> DataFrame:
     rows = rows.repartition(n, "t1", "t2").groupBy("t1", "t2").agg(F.sum("copies").alias("copies"), F.any_value("text").alias("text"))
     name = f"texts_{uuid.uuid4().hex}"
     writer = rows.write.bucketBy(n, "t1", "t2").sortBy("t1", "t2").option("compression", "zstd")
-    writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name, format="parquet")
+    with shuffles_dropped(spark):
+        writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name, format="parquet")
     return spark.table(name)
 
 
@@ -87,7 +89,7 @@ def _cores(texts: DataFrame, length: int, window: int) -> DataFrame:
     def run(batches):
         digest, before, after = xxhash.xxh3_64_intdigest, window, length - 2 * window
         for batch in batches:
-            for part in slices(batch, 4096, 2 << 20):
+            for part in slices(batch, 4096, 256 << 10):  # what numpy goes over again and again stays in the cache
                 rows = [x.encode() for x in part.column("text").to_pylist()]
                 data, offsets = b"".join(rows), np.cumsum([0, *map(len, rows)])
                 found, view = anchors(np.frombuffer(data, np.uint8), offsets[1:], window), memoryview(data)
@@ -111,9 +113,9 @@ def _cores(texts: DataFrame, length: int, window: int) -> DataFrame:
     return texts.select("t1", "t2", "text").mapInArrow(run, "core long, t1 long, t2 long, at int, gap int")
 
 
-def _starts(at: int, gap: int, size: int, length: int, window: int) -> tuple[int, int]:
-    """First and last start of the strings of an anchor."""
-    return max(0, at - gap - window + 1), min(size - length, at - window)
+def _starts(at: np.ndarray, gap: np.ndarray, size: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the strings of each anchor."""
+    return np.maximum(0, at - gap - window + 1), np.minimum(size - length, at - window)
 
 
 def _contexts(texts: DataFrame, spots: DataFrame, length: int, window: int, bytes_too: bool) -> DataFrame:
@@ -124,20 +126,22 @@ def _contexts(texts: DataFrame, spots: DataFrame, length: int, window: int, byte
     schema, ddl = arrow_schema(fields)
 
     def run(batches):
-        digest = xxhash.xxh3_64_intdigest
+        digest, reach = xxhash.xxh3_64_intdigest, length - window
         for batch in batches:
             for part in slices(batch):
-                out: list[tuple] = []
-                for t1, t2, copies, text, some in zip(*(part.column(c).to_pylist() for c in ("t1", "t2", "copies", "text", "spots")), strict=True):
-                    data = text.encode()
-                    for x in some:
-                        first, last = _starts(x["at"], x["gap"], len(data), length, window)
-                        begin = x["at"] - window
-                        name = digest(data[first : last + length], begin - first) ^ (last - first)
-                        row = (x["core"], name - (1 << 64) if name >> 63 else name, t1, t2, copies, begin, first, last)
-                        out.append((*row, data[first:begin], data[begin + length - window : last + length]) if bytes_too else row)
-                columns = list(zip(*out, strict=True)) if out else [[]] * len(fields)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], schema=schema)
+                rows = [x.encode() for x in part.column("text").to_pylist()]
+                spots = part.column("spots")
+                own, flat = np.repeat(np.arange(len(rows)), spots.value_lengths().to_numpy()), spots.flatten()
+                at, gap = (flat.field(k).to_numpy().astype(np.int64) for k in (1, 2))
+                first, last = _starts(at, gap, np.array([len(x) for x in rows], np.int64)[own], length, window)
+                begin = at - window
+                edges = list(zip(own.tolist(), first.tolist(), begin.tolist(), last.tolist(), strict=True))
+                names = np.fromiter((digest(rows[k][a : c + length], b - a) ^ (c - a) for k, a, b, c in edges), np.uint64, len(edges)).view(np.int64)
+                where = pa.array(own)
+                columns = [flat.field(0), pa.array(names), *(part.column(c).take(where) for c in ("t1", "t2", "copies")), *(pa.array(c.astype(np.int32)) for c in (begin, first, last))]
+                if bytes_too:
+                    columns += [pa.array([rows[k][a:b] for k, a, b, _ in edges], pa.binary()), pa.array([rows[k][b + reach : c + length] for k, _, b, c in edges], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return texts.join(spots, ["t1", "t2"]).select("t1", "t2", "copies", "text", "spots").mapInArrow(run, ddl)
 
@@ -217,25 +221,25 @@ def _compare_gathered(members: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(run, ddl)
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept, passage_words) for rows (doc_id, text, spans, shared): maximal runs, and the bytes
+def _cut(texts: DataFrame) -> DataFrame:
+    """(t1, t2, n_bytes, spans, kept, passage_words) for rows (t1, t2, text, spans, shared): maximal runs, and the bytes
     outside them."""
     pair = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pair), ("kept", pa.binary()), ("passage_words", pa.int64())])
+    schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("n_bytes", pa.int64()), ("spans", pair), ("kept", pa.binary()), ("passage_words", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 out = []
-                for doc, text, some, shared in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans", "shared")), strict=True):
+                for text, some, shared in zip(*(part.column(c).to_pylist() for c in ("text", "spans", "shared")), strict=True):
                     data, runs = text.encode(), merged((x["a"], x["b"]) for x in some or ())
                     edges = [0, *[e for r in runs for e in r], len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    out.append((doc, len(data), [{"a": a, "b": b} for a, b in runs], kept, shared or 0))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+                    out.append((len(data), [{"a": a, "b": b} for a, b in runs], kept, shared or 0))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([part.column("t1"), part.column("t2"), *(pa.array(c, t) for c, t in zip(columns, schema.types[2:], strict=True))], schema=schema)
 
-    return rows.select("doc_id", "text", "spans", "shared").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary, passage_words long")
+    return texts.select("t1", "t2", "text", "spans", "shared").mapInArrow(run, "t1 long, t2 long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary, passage_words long")
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -254,7 +258,7 @@ def repeated_spans(texts: DataFrame, length: int, window: int) -> DataFrame:
     the distinct ``texts``; spans may overlap. Left out: texts without any, and texts that have copies."""
     cores = written(_cores(texts, length, window), "cores")
     common = written(cores.groupBy("core").count().where("count > 1").select("core"), "common-cores")
-    shared = cores.join(common, "core", "left_semi")
+    shared = cores.join(common.hint("shuffle_hash"), "core", "left_semi")
     spots = written(shared.groupBy("t1", "t2").agg(F.collect_list(F.struct("core", "at", "gap")).alias("spots")), "spots")
     found = written(_contexts(texts, spots, length, window, False), "contexts")
     # a context that occurs twice settles itself; in cores with several contexts the others are compared
@@ -285,23 +289,37 @@ def cut_repeats(docs: DataFrame, length: int = 400, words: int = 51, id_column:
     texts of at least ``length`` bytes lose every byte. An empty table gives an empty result; other columns are
     not read. ``length`` is at least 32.
     """
+    return _repeats(docs, length, words, id_column, text_column, lambda found: found)
+
+
+def _repeats(docs: DataFrame, length: int, words: int, id_column: str, text_column: str, asked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``cut_repeats``, with what is ``asked`` of its columns taken once for each distinct text, where that text lies."""
     window = (length - GRAM) // 3
     if length < 32:
         raise ValueError("length: 32 or more")
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), text.alias("text")).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(7), "text"))
-    texts = distinct_texts(rows, min(length, 2 * words - 1))
+    shortest = min(length, 2 * words - 1)
+    texts = distinct_texts(rows, shortest)
     some = repeated_spans(texts.where(F.octet_length("text") >= length), length, window)
     copies = texts.where((F.col("copies") > 1) & (F.octet_length("text") >= length)).select("t1", "t2", F.array(F.struct(F.lit(0).alias("a"), F.octet_length("text").alias("b"))).alias("spans"))
     found = some.unionByName(copies).withColumn("shared", F.lit(0).cast("long")).unionByName(shared_words(texts, words).withColumn("spans", F.lit(None).cast("array<struct<a:int,b:int>>")))
     spans = written(found.groupBy("t1", "t2").agg(F.first("spans", ignorenulls=True).alias("spans"), F.max("shared").alias("shared")), "spans")
-    return _cut(rows.join(spans, ["t1", "t2"], "left"))
+    # the texts lie where their names hash to, so only ids and what is asked of each text move
+    cut = asked(_cut(texts.join(spans, ["t1", "t2"], "left")))
+    of_texts = rows.where(F.octet_length("text") >= shortest).select("doc_id", "t1", "t2").join(cut, ["t1", "t2"]).drop("t1", "t2")
+    brief = rows.where(F.octet_length("text") < shortest)
+    kept, none = F.col("text").cast("binary"), F.array().cast("array<struct<a:bigint,b:bigint>>")
+    return of_texts.unionByName(asked(brief.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("spans"), kept.alias("kept"), F.lit(0).cast("long").alias("passage_words"))))
+
+
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``cut_repeats`` in figures, one row per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``,
     ``kept_sha256`` (of the bytes left) and ``passage_words``."""
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
-    return cut_repeats(docs, length, words, id_column, text_column).select(
-        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "passage_words")
+    figures = ["n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "passage_words"]
+    found = _repeats(docs, length, words, id_column, text_column, lambda cut: cut.select(*[c for c in ("t1", "t2", "doc_id") if c in cut.columns], *figures))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_words")

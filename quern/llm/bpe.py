@@ -7,12 +7,20 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: On texts of Latin characters only, the classes of ``re`` spelt out here mean what \p{L}, \p{N} and \s mean.
 LATIN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
 BEYOND = re.compile("[^\\t-\\r\\x20-\\x7e\\x85\\xa0-ɏ]")
+BLANK, LETTER, DIGIT, OTHER, UNKNOWN = range(5)
+#: The class of each character that two bytes can write, as ``LATIN`` and ``BEYOND`` have it.
+KINDS = np.array([
+    UNKNOWN if BEYOND.match(c) else BLANK if c.isspace() else LETTER if re.match(f"[{LETTERS}]", c) else DIGIT if re.match(f"[{DIGITS}]", c) else OTHER
+    for c in map(chr, range(0x280))], np.uint8)
+BYTE_KINDS = np.concatenate([KINDS[:0x80], np.full(0x80, UNKNOWN, np.uint8)])
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -47,6 +55,43 @@ class Splitter:
     def _plain(self, text: str) -> list[str]:
         return self._any.findall(text) if BEYOND.search(text) else LATIN.findall(text)
 
+    def starts(self, data: bytes, at: np.ndarray) -> np.ndarray:
+        """Where the pieces of many texts begin, ascending: as ``pieces`` cuts them, but without a string for each. The
+        texts lie one after another in ``data`` (UTF-8), text k from ``at[k]`` to ``at[k + 1]``. Texts with characters
+        beyond ``LATIN``, or with added tokens, are cut one by one by ``pieces``.
+        """
+        size, raw = len(data), np.frombuffer(data + b"\0\0", np.uint8)
+        kind = BYTE_KINDS[raw[:size]]
+        two = np.flatnonzero((raw[:size] >= 0xC0) & (raw[:size] < 0xCA))  # of two bytes, both of one class
+        kind[two] = kind[two + 1] = KINDS[(raw[two].astype(np.int64) & 0x1F) << 6 | raw[two + 1] & 0x3F]
+        edge = np.zeros(size + 3, bool)
+        edge[at] = True
+        first = edge[: size + 1].copy()
+        first[1:-1] |= kind[1:] != kind[:-1]
+
+        # the last of some blanks goes to what follows if it is a space, else it is a piece
+        b = 1 + np.flatnonzero((kind[:-1] == BLANK) & (kind[1:] != BLANK))
+        b = b[~edge[b]]
+        first[b - 1 - (raw[b - 1] >= 0x80)] = True
+        first[b[raw[b - 1] == 0x20]] = False
+
+        # contractions: an apostrophe that begins a piece, and one or two letters
+        p = np.flatnonzero((raw[:size] == 0x27) & first[:-1])
+        x, y = raw[p + 1], raw[p + 2]
+        one = np.isin(x, np.frombuffer(b"stmd", np.uint8)) & ~edge[p + 1]
+        pair = (((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))) & ~edge[p + 1] & ~edge[p + 2]
+        first[p[one | pair] + 1] = False
+        first[p[one] + 2] = first[p[pair] + 3] = True
+
+        odd = [np.flatnonzero(kind == UNKNOWN)]
+        for token in self.added:
+            odd.append(np.array([m.start() for m in re.finditer(re.escape(token.encode()), data)], np.int64))
+        for k in np.unique(np.searchsorted(at, np.concatenate(odd), "right") - 1).tolist():
+            low, high = int(at[k]), int(at[k + 1])
+            first[low + 1 : high] = False
+            first[low + np.cumsum([len(x.encode()) for x in self.pieces(data[low:high].decode())])[:-1]] = True
+        return np.flatnonzero(first[:-1])
+
 
 class Memo(dict):
     """piece -> value, worked out when first asked for; emptied at ``most`` entries, so memory stays bounded."""
@@ -64,25 +109,64 @@ class Memo(dict):
 
 
 class Ids:
-    """Token ids of whole texts as little-endian unsigned 32-bit values, from the tokenizers library."""
+    """Token ids of whole texts as little-endian unsigned 32-bit values, from the tokenizers library.
 
-    def __init__(self, path: str, most: int = 300_000):
+    A column of texts is cut into pieces at once; the library is asked for each different piece that the memo does not
+    hold. The memo has at most ``most`` pieces; when it is full, those of the texts at hand stay, common ones among them.
+    """
+
+    def __init__(self, path: str, most: int = 300_000, at_once: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.splitter, self.model = Splitter(path), Tokenizer.from_file(path).model
         self.splitter.spec = None  # the model has what of it is used here
         self.letters = {b: c for c, b in _byte_letters().items()}
-        self.memo = Memo(self._piece, most)
+        self.space = self.letters[0x20]
+        self.memo, self.most, self.at_once = {}, most, at_once
 
     def _piece(self, piece: str) -> bytes:
         if piece in self.splitter.added:
             ids = [self.splitter.added[piece]]
+        elif piece.isascii() and piece.isprintable():  # all but the space are their own letters
+            ids = [x.id for x in self.model.tokenize(piece.replace(" ", self.space))]
         else:
             ids = [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, self.splitter.pieces(text)))
+    def _values(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces."""
+        values = list(map(self.memo.get, pieces))
+        missing = [k for k, x in enumerate(values) if x is None]
+        for k in missing:
+            values[k] = self._piece(pieces[k])
+        if len(self.memo) + len(missing) > self.most:
+            self.memo, missing = {}, range(min(len(pieces), self.most))
+        self.memo.update((pieces[k], values[k]) for k in missing if len(pieces[k]) < 64)
+        return values
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a string column; a null text is an empty one."""
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2].slice(at[0], at[-1] - at[0]).to_pybytes() if at[-1] > at[0] else b""
+        at = at - at[0]
+        cuts = np.append(self.splitter.starts(data, at), len(data))
+        pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
+        found, counts = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
+        for k in range(0, len(pieces), self.at_once):
+            coded = pieces.slice(k, self.at_once).dictionary_encode()
+            values, code = self._values(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+            lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            count = lengths[code]
+            ends = np.cumsum(count)
+            shift = (np.cumsum(lengths) - lengths)[code] - (ends - count)  # from a place here to its id's among the values
+            found.append(np.frombuffer(b"".join(values), "<u4")[np.repeat(shift, count) + np.arange(ends[-1])])
+            counts.append(count)
+        ids = np.concatenate(found)
+        bounds = np.cumsum(np.concatenate(counts))[np.searchsorted(cuts, at)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def _byte_letters() -> dict[str, int]:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quern.llm.bpe import Ids, default_path
-from quern.llm.shared import arrow_schema, bounded_batches, for_a_task, slices, texts
+from quern.llm.shared import arrow_schema, bounded_batches, for_a_task, slices
 
 FIELDS = {
     "doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(),
@@ -118,10 +118,10 @@ def pack(docs: DataFrame, max_tokens: int = 1024, max_segments: int = 128, max_l
             return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, rows=1 << 13):
                 prompts = part.column("prompt").to_pylist()
-                for doc, text, prompt in zip(part.column("doc_id").to_pylist(), texts(part, "text"), prompts, strict=True):
-                    ids = memoryview(encode(text) + end)
+                for doc, found, prompt in zip(part.column("doc_id").to_pylist(), encode(part.column("text")), prompts, strict=True):
+                    ids = memoryview(found + end)
                     total = len(ids) // 4
                     bare = min(total, prompt or 0)
                     piece = {"doc": doc, "start": 0, "length": total, "total": total, "loss": total - bare, "ids": ids}

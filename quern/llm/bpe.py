@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,23 @@ class Splitter:
             first[low + np.cumsum([len(x.encode()) for x in self.pieces(data[low:high].decode())])[:-1]] = True
         return np.flatnonzero(first[:-1])
 
+    def column(self, texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The texts of a string column one after another (UTF-8; a null text is an empty one), where each begins, and
+        where each of their pieces does; both end with the length of the whole."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2].slice(at[0], at[-1] - at[0]).to_pybytes() if at[-1] > at[0] else b""
+        at = at - at[0]
+        return data, at, np.append(self.starts(data, at), len(data))
+
+
+def _coded(data: bytes, cuts: np.ndarray, at_once: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The different ones among ``at_once`` pieces at a time, and each piece as its place among them."""
+    pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
+    for k in range(0, len(pieces), at_once):
+        coded = pieces.slice(k, at_once).dictionary_encode()
+        yield coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
 
 class Memo(dict):
     """piece -> value, worked out when first asked for; emptied at ``most`` entries, so memory stays bounded."""
@@ -148,16 +166,10 @@ class Ids:
         """The ids of each text of a string column; a null text is an empty one."""
         if not len(texts):
             return []
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = texts.buffers()[2].slice(at[0], at[-1] - at[0]).to_pybytes() if at[-1] > at[0] else b""
-        at = at - at[0]
-        cuts = np.append(self.splitter.starts(data, at), len(data))
-        pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
+        data, at, cuts = self.splitter.column(texts)
         found, counts = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
-        for k in range(0, len(pieces), self.at_once):
-            coded = pieces.slice(k, self.at_once).dictionary_encode()
-            values, code = self._values(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        for pieces, code in _coded(data, cuts, self.at_once):
+            values = self._values(pieces)
             lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
             count = lengths[code]
             ends = np.cumsum(count)
@@ -184,25 +196,42 @@ class PrefixCounts:
     that agrees with the last token of the prefix before it, and ``count[i] = count[i - len(last)] + 1``.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        import ahocorasick
-
+    def __init__(self, path: str, most: int = 300_000, at_once: int = 1 << 20):
         self.splitter = Splitter(path)
         letters = _byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
         model = self.splitter.spec["model"]
         self.ids = {raw(k): v for k, v in model["vocab"].items()}
         self.bytes = {v: k for k, v in self.ids.items()}
-        self.ranks = {}
+        self.ranks, self.made, made, self.in_order = {}, {}, {}, True
         for k, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[raw(a), raw(b)] = k
-        self.tokens = ahocorasick.Automaton()
-        for token, k in self.ids.items():
-            self.tokens.add_word(token.decode("latin-1"), (k, len(token)))
-        self.tokens.make_automaton()
+            a, b = map(raw, pair if isinstance(pair, list) else pair.split(" "))
+            self.ranks[a, b] = k
+            # whether each token has one merge that makes it, later than those of its halves
+            self.in_order &= a + b not in made and all(len(x) == 1 or x in made for x in (a, b))
+            made[a + b] = k
+            self.made[self.ids.get(a + b)] = (k, self.ids.get(a), self.ids.get(b))
+        self.joined = {(self.ids.get(a), self.ids.get(b)): k for (a, b), k in self.ranks.items()}
+        self.in_order &= not any(None in x for x in self.joined) and None not in self.made
+
+        # all tokens that end at a byte: what of the bytes before it is the start of a token, as one number, leads there
+        self.states = [b"", *sorted({token[:k] for token in self.ids for k in range(1, len(token) + 1)})]
+        self.state_of = {x: k for k, x in enumerate(self.states)}
+        self.step, self.ending = Memo(self._step, 2 * most), Memo(self._ending, most)
         self.agree = Memo(self._agree, 2 * most)
-        self.memo = Memo(lambda piece: int(self.prefixes(piece)[-1]), most)
+        self.memo, self.most, self.at_once = Memo(lambda piece: int(self.prefixes(piece)[-1]), most), most, at_once
+
+    def _step(self, key: int) -> int:
+        """The state after one more byte (state << 8 | byte)."""
+        text = self.states[key >> 8] + bytes([key & 0xFF])
+        while text not in self.state_of:
+            text = text[1:]
+        return self.state_of[text]
+
+    def _ending(self, state: int) -> tuple:
+        """The tokens that end where a state is reached, longest first, with their lengths."""
+        text = self.states[state]
+        return tuple((self.ids[text[k:]], len(text) - k) for k in range(len(text)) if text[k:] in self.ids)
 
     def _merge(self, data: bytes) -> list[bytes]:
         parts = [data[k : k + 1] for k in range(len(data))]
@@ -223,24 +252,62 @@ class PrefixCounts:
         return parts
 
     def _agree(self, key: int) -> bool:
-        """Whether a token (-1 - id) or two neighbours (first << 20 | second) come out of a merge as they are."""
-        parts = [self.bytes[-1 - key]] if key < 0 else [self.bytes[key >> 20], self.bytes[key & 0xFFFFF]]
+        """Whether two neighbours (first << 20 | second; first -1: the second alone) come out of a merge as they are.
+        The first of two is known to stand for itself."""
+        first, second = key >> 20, key & 0xFFFFF
+        if first >= 0 and self.in_order:
+            return self.agree[-1 << 20 | second] and self._apart(first, second)
+        parts = [self.bytes[x] for x in (first, second) if x >= 0]
         return self._merge(b"".join(parts)) == parts
 
+    def _apart(self, first: int, second: int) -> bool:
+        """``_agree`` for two tokens that stand for themselves, without a merge.
+
+        Merges are undone from the last on, which leaves those that can meet: the first's right end and the second's left
+        one. They would have been joined if that comes before what was undone last; of equal ranks the left one is first.
+        """
+        made, before = self.made, len(self.ranks)
+        while True:
+            if self.joined.get((first, second), before) < before:
+                return False
+            left, right = made.get(first), made.get(second)
+            if left and (not right or left[0] > right[0]):
+                before, first = left[0], left[2]
+            elif right:
+                before, second = right[0] + 1, right[1]
+            else:
+                return True
+
+    def _walk(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
+        """Of each piece the tokens of its first i bytes, i from 0, in one list that the next piece changes. What a piece
+        has in common with the start of the one before it is not gone through again."""
+        agree, step, ending = self.agree, self.step, self.ending
+        before, states, last, count = b"", [0], [-1], [0]
+        for data in pieces:
+            same, most = 0, min(len(before), len(data))
+            if before[:most] == data[:most]:
+                same = most
+            while same < most and before[same] == data[same]:
+                same += 1
+            del states[same + 1 :], last[same + 1 :], count[same + 1 :]
+            state, before = states[same], data
+            for end, byte in enumerate(data[same:], same + 1):
+                state = step[state << 8 | byte]
+                for token, length in ending[state]:
+                    if agree[last[end - length] << 20 | token]:
+                        break
+                else:
+                    raise ValueError(f"no encoding of {data!r}")
+                states.append(state)
+                last.append(token)
+                count.append(count[end - length] + 1)
+            yield count
+
     def prefixes(self, piece: str) -> np.ndarray:
         """count[i]: tokens of the first i bytes of the piece, i from 0."""
         if piece in self.splitter.added:
             return self._added_prefixes(piece)
-        data = piece.encode()
-        last, count = [-1] * (len(data) + 1), [0] * (len(data) + 1)
-        agree = self.agree
-        for end, (token, length) in self.tokens.iter(data.decode("latin-1")):
-            i, j = end + 1, end + 1 - length
-            if last[i] < 0 and (last[j] >= 0 or not j) and agree[last[j] << 20 | token if j else -token - 1]:
-                last[i], count[i] = token, count[j] + 1
-        if min(last[1:]) < 0:
-            raise ValueError(f"no encoding of {data!r}")
-        return np.array(count, np.int64)
+        return np.array(next(self._walk([piece.encode()])), np.int64)
 
     def _added_prefixes(self, piece: str) -> np.ndarray:
         parts = [self.count(piece[:k]) if k < len(piece) else 1 for k in range(len(piece) + 1)]
@@ -250,6 +317,43 @@ class PrefixCounts:
         """Tokens of the whole text."""
         return sum(map(self.memo.__getitem__, self.splitter.pieces(text)))
 
+    def _counts(self, pieces: list[str]) -> list[int]:
+        """Tokens of different pieces, in their sorted order as far as the memo does not hold them: neighbours there
+        begin alike."""
+        values = list(map(self.memo.get, pieces))
+        missing = sorted((x.encode(), k) for k, (x, v) in enumerate(zip(pieces, values, strict=True)) if v is None and x not in self.splitter.added)
+        for (_, k), count in zip(missing, self._walk(x for x, _ in missing), strict=True):
+            values[k] = count[-1]
+        values = [1 if v is None else v for v in values]  # an added token
+        kept = [k for _, k in missing]
+        if len(self.memo) + len(kept) > self.most:
+            self.memo.clear()
+            kept = range(min(len(pieces), self.most))
+        self.memo.update((pieces[k], values[k]) for k in kept if len(pieces[k]) < 64)
+        return values
+
+    def column(self, texts: pa.Array, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes and tokens of each text of a string column (a null text is an empty one), and the code points of its
+        ``longest_prefix`` within ``budget`` tokens. No string is made for a piece that is not the first of its kind."""
+        data, at, cuts = self.splitter.column(texts)
+        counts = [np.array(self._counts(pieces), np.int64)[code] for pieces, code in _coded(data, cuts, self.at_once)]
+        done = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))])
+        first = np.searchsorted(cuts, at)
+        tokens = np.diff(done[first])
+        fits = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        piece = lambda k: data[cuts[k] : cuts[k + 1]].decode()
+        for k in np.flatnonzero(tokens > budget):
+            low = first[k]
+            here = int(np.searchsorted(done, done[low] + budget, "right")) - 1
+            inside = self._fitting(int(done[here] - done[low]), piece(here - 1) if here > low else "", piece(here), budget)
+            fits[k] = len(data[at[k] : cuts[here]].decode()) + inside
+        return np.diff(at), tokens, fits
+
+    def _fitting(self, done: int, before: str, piece: str, budget: int) -> int:
+        """Code points of the piece at which the budget runs out that fit; ``done`` and ``before`` as in ``_within``."""
+        fits = np.flatnonzero(self._within(done, before, piece) <= budget)
+        return int(fits[-1]) + 1 if len(fits) else 0
+
     def _within(self, done: int, before: str, piece: str) -> np.ndarray:
         """Tokens of the texts that end after 1, 2, ... code points of a piece; ``done`` tokens lie before the piece,
         and ``before`` is the piece before it.
@@ -283,7 +387,6 @@ class PrefixCounts:
         for piece in self.splitter.pieces(text):
             here = self.memo[piece]
             if done + here > budget:
-                fits = np.flatnonzero(self._within(done, before, piece) <= budget)
-                return at + int(fits[-1]) + 1 if len(fits) else at
+                return at + self._fitting(done, before, piece, budget)
             done, at, before = done + here, at + len(piece), piece
         return at

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quern.llm.bpe import PrefixCounts, default_path
-from quern.llm.shared import arrow_schema, bounded_batches, for_a_task, slices, texts
+from quern.llm.shared import arrow_schema, bounded_batches, for_a_task, slices
 
 
 def token_counts(docs: DataFrame, limit: int = 512, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -15,7 +15,7 @@ def token_counts(docs: DataFrame, limit: int = 512, tokenizer: str | None = None
 
     Counts are those of the tokenizer file's own library, without special tokens added. A null text is an empty
     one (no bytes, no tokens); a null id stays null; repeated rows give repeated results; an empty table gives an
-    empty result; other columns are not read. Narrow: no shuffle, a bounded memo per Python worker.
+    empty result; other columns are not read. Narrow: no shuffle, a bounded memo that lives for a task.
     """
     bounded_batches(docs.sparkSession)
     path = tokenizer or default_path()
@@ -23,12 +23,10 @@ def token_counts(docs: DataFrame, limit: int = 512, tokenizer: str | None = None
 
     def run(counter, batches):
         for batch in batches:
-            for part in slices(batch):
-                rows = texts(part, "text")
-                counts = [counter.count(x) for x in rows]
-                fits = [counter.longest_prefix(x, limit) if n > limit else len(x) for x, n in zip(rows, counts, strict=True)]
+            for part in slices(batch, rows=1 << 13):
+                sizes, counts, fits = counter.column(part.column("text"), limit)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([len(x.encode()) for x in rows], pa.int64()), pa.array(counts, pa.int64()),
-                    pa.array([n > limit for n in counts], pa.bool_()), pa.array(fits, pa.int64())], schema=schema)
+                    part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()),
+                    pa.array(counts > limit, pa.bool_()), pa.array(fits, pa.int64())], schema=schema)
 
     return docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text").mapInArrow(for_a_task(lambda: PrefixCounts(path), run), ddl)
